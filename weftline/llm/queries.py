@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.leaks import find_leaks
+from weftline.llm.spam import find_spam, score_pages
 from weftline.llm.tokens import encode_texts
 from weftline.session import table
 
@@ -28,10 +29,20 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_spam(table(spark, d, "documents"), doc_id="doc_id", text="text").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_pages(table(spark, d, "documents"), doc_id="doc_id", text="text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
 
 ORACLES: dict[str, str] = {}

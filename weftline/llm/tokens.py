@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 # The splitting pattern of the byte-level vocabularies, and Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: A text longer than this is cut.
 CHUNK = 32_768
