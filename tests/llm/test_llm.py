@@ -172,9 +172,9 @@ def test_counts_against_brute_force(spark):
     h = Hashes()
     lines = [[tokens(x) for x in t.split("\n")] for t in texts if t]
     assert counts.docs == len(lines)
-    for w in ("a", "b", "0", "größe"):
+    for w in ("a", "b", "7", "größe"):
         assert counts.words[_slot(h, [w])[0][0]] == sum(any(w in x for x in doc) for doc in lines)
-    for pair in (("a", "b"), ("c", "a"), ("0", "0")):
+    for pair in (("a", "b"), ("c", "a"), ("7", "7")):
         assert counts.pairs[_slot(h, pair)[1][0]] == sum(any(pair in zip(x, x[1:], strict=False) for x in doc) for doc in lines)
 
 

@@ -12,7 +12,6 @@ index of one block, at most ``BLOCK_WORDS`` words; more items make more blocks.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -22,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.text import compatible
+
 #: Words of the items of one block.
 BLOCK_WORDS = 500_000
 #: Documents hashed at once.
@@ -30,23 +31,9 @@ _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _NoFormat(dict):
-    """For str.translate: drops format characters, learns the others."""
-
-    def __missing__(self, code: int) -> int | None:
-        kept = self[code] = None if unicodedata.category(chr(code)) == "Cf" else code
-        return kept
-
-
-_NO_FORMAT = _NoFormat()
-
-
 def words(text: str) -> list[str]:
     """Runs of letters and digits, compatibility forms plain, case folded, format characters absent."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.translate(_NO_FORMAT)).casefold())
-    else:
-        text = text.lower()
+    text = compatible(compatible(text).casefold())
     return _WORD.findall(text)
 
 
