@@ -261,7 +261,7 @@ def tile(df: DataFrame, field: str, tiles: int = 4, group: Sequence[str] = (), m
         if ends["lo"] is None:
             return df.withColumn(out, F.lit(None).cast("int"))
         step = (ends["hi"] - ends["lo"]) / tiles or 1
-        return df.withColumn(out, F.least(F.floor((value - ends["lo"]) / step) + 1, F.lit(tiles)).cast("int"))
+        return df.withColumn(out, F.when(value.isNotNull(), F.least(F.floor((value - ends["lo"]) / step) + 1, F.lit(tiles))).cast("int"))
     if group:
         if method == "equal_sum":
             totals = Window.partitionBy(*[C.name(g) for g in group])

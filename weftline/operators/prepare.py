@@ -264,7 +264,7 @@ def binning(df: DataFrame, fields: Sequence[str], bins: int, method: str = "equa
         for i, f in enumerate(fields):
             lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
             step = (hi - lo) / bins if lo is not None and hi != lo else 1
-            made[f + suffix] = F.least(F.floor((C.name(f) - F.lit(lo)) / F.lit(step)) + 1, F.lit(bins)).cast("int")
+            made[f + suffix] = F.when(C.name(f).isNotNull(), F.least(F.floor((C.name(f) - F.lit(lo)) / F.lit(step)) + 1, F.lit(bins))).cast("int")
     else:
         cuts = df.approxQuantile(list(fields), [i / bins for i in range(1, bins)], accuracy)
         for f, edges in zip(fields, cuts, strict=True):

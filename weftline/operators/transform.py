@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,17 @@ _ACTIONS: dict[str, Callable[[Column, Column | None], Column]] = {
 }
 
 
+def _passes(actions: Sequence[Action]) -> list[list[tuple[int, Action]]]:
+    """Actions that are aggregated together. Distinct counts make Spark group by their fields first, which would build the
+    large buffers of medians, modes, lists and ordered picks for each of their values: they go apart from those."""
+    numbered = list(enumerate(actions))
+    distinct = [(i, a) for i, a in numbered if a.action.lower() == "countdistinct"]
+    heavy = any(a.action.lower() in ("median", "mode", "concat", "first", "last") for a in actions)
+    if not distinct or not heavy:
+        return [numbered]
+    return [[x for x in numbered if x not in distinct], distinct]
+
+
 def summarize(df: DataFrame, actions: Sequence[Action], order: O.Order = (), *, keep_null_keys: bool = False, diagnostics: list | None = None) -> DataFrame:
     """Groups and aggregates in the listed order of fields. Rows with a null key are left out, unless only keys are asked for
     or ``keep_null_keys``; without keys there is one row; without actions the frame as it is. The sum of nothing is 0. First
@@ -71,10 +83,24 @@ def summarize(df: DataFrame, actions: Sequence[Action], order: O.Order = (), *,
     if not rest:
         return df.select(*[C.name(k.field).alias(k.out) for k in keys]).distinct()
     by = F.struct(*[C.name(c) for c, _ in order]) if order and all(up for _, up in order) else None
-    aggs = [_ACTIONS[a.action.lower()](C.name(a.field), by).alias(f"__{i}") for i, a in enumerate(rest)]
     if keys and not keep_null_keys:
         df = df.dropna(subset=[k.field for k in keys])
-    made = df.groupBy(*[C.name(k.field).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*aggs)
+    by_key = [C.name(k.field).alias(f"__k{i}") for i, k in enumerate(keys)]
+    made = None
+    for part in _passes(rest):
+        aggs = [_ACTIONS[a.action.lower()](C.name(a.field), by).alias(f"__{i}") for i, a in part]
+        one = df.groupBy(*by_key).agg(*aggs)
+        if made is None:
+            made = one
+        elif not keys:
+            made = made.withColumns({f"__{i}": one.select(f"__{i}").scalar() for i, _ in part})
+        else:
+            names = [f"__k{i}" for i in range(len(keys))]
+            if not keep_null_keys:
+                made = made.join(one, names)
+            else:
+                other = one.toDF(*[f"__o{c}" if c in names else c for c in one.columns])
+                made = made.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__o{c}")) for c in names]))
     place = {id(a): f"__{i}" for i, a in enumerate(rest)} | {id(k): f"__k{i}" for i, k in enumerate(keys)}
     return made.select(*[F.col(place[id(a)]).alias(a.out) for a in known])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -44,6 +45,15 @@ def locate(text: str, code: str | None = None) -> Location:
     return Location(path, _EXTENSIONS.get(extension) or _CODES.get(str(code), "csv"), sheet, unc)
 
 
+def _json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line is an object of its own; else the file is one document."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    try:
+        return first is not None and isinstance(json.loads(first[0]), dict)
+    except ValueError:
+        return False
+
+
 def clean(df: DataFrame) -> DataFrame:
     """NaN is null everywhere behind a scan."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -62,7 +72,7 @@ def read(spark: SparkSession, at: Location, *, schema: T.StructType | str | None
         reader = spark.read.option("header", header).option("sep", delimiter).option("multiLine", False)
         df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     elif kind == "json":
-        reader = spark.read.option("multiLine", True)
+        reader = spark.read.option("multiLine", not _json_lines(spark, path))
         df = (reader.schema(schema) if schema else reader).json(path)
     elif kind == "xlsx":
         try:
