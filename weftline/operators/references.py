@@ -58,19 +58,22 @@ def find_orphans(tables: Sequence[References], parents: Parents) -> DataFrame:
     at or before the reference's arrival. An unknown time proves neither. Repeated parents count once; empty
     parents make all references ``missing``.
     """
-    refs = gather(tables)
+    # scope and key as one value that is never null: no join adds a filter of its own, so all three uses of the
+    # references share one shuffle
+    both = lambda: F.struct("scope", "key").alias("id")
+    refs = gather(tables).select("ref_table", "ref_id", "ref_field", both(), "seen_at")
     p = parents.frame
     never = F.lit(None).cast(p.schema[parents.seen_at].dataType)
     deleted = p[parents.deleted_at] if parents.deleted_at else never
     held = p.select(p[parents.scope].alias("scope"), p[parents.key].alias("key"), p[parents.seen_at].alias("s"), deleted.alias("d"))
-    held = held.where("scope is not null and key is not null").groupBy("scope", "key").agg(F.min("s").alias("first_seen"), F.min("d").alias("first_deleted"))
-    keys = refs.groupBy("scope", "key").agg(F.min("seen_at").alias("from"), F.max("seen_at").alias("to"))
-    missing = keys.join(held, ["scope", "key"], "left_anti").select("scope", "key", F.lit(True).alias("absent"), never.alias("first_seen"), never.alias("first_deleted"))
-    doubtful = keys.join(held, ["scope", "key"]).where("`from` < first_seen or `to` >= first_deleted").select("scope", "key", F.lit(False).alias("absent"), "first_seen", "first_deleted")
-    flagged = missing.unionByName(doubtful).select(F.col("scope").alias("_s"), F.col("key").alias("_k"), "absent", "first_seen", "first_deleted")
+    held = held.where("scope is not null and key is not null").groupBy(both()).agg(F.min("s").alias("first_seen"), F.min("d").alias("first_deleted"))
+    keys = refs.groupBy("id").agg(F.min("seen_at").alias("from"), F.max("seen_at").alias("to"))
+    missing = keys.join(held, "id", "left_anti").select("id", "from", "to", F.lit(True).alias("absent"), never.alias("first_seen"), never.alias("first_deleted"))
+    doubtful = keys.join(held, "id").where("`from` < first_seen or `to` >= first_deleted").select("id", "from", "to", F.lit(False).alias("absent"), "first_seen", "first_deleted")
+    flagged = missing.unionByName(doubtful)
     reason = F.when(F.col("absent"), "missing").when(F.col("seen_at") < F.col("first_seen"), "late").when(F.col("first_deleted") <= F.col("seen_at"), "deleted")
-    joined = refs.join(flagged, refs["scope"].eqNullSafe(flagged["_s"]) & (refs["key"] == flagged["_k"]))
-    return joined.select("ref_table", "ref_id", "ref_field", "scope", "key", "seen_at", reason.alias("reason")).where("reason is not null")
+    joined = refs.join(flagged, "id")
+    return joined.select("ref_table", "ref_id", "ref_field", "id.scope", "id.key", "seen_at", reason.alias("reason")).where("reason is not null")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
