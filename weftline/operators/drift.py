@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.terms import term
-from weftline.session import cut
+from weftline.session import cut, ship
 
 # Bits of the value types a text fits; the types of several values are the bits they share.
 INTEGER, DECIMAL, BOOLEAN = 1, 2, 4
@@ -125,6 +125,7 @@ def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def headers(df: DataFrame, owner: str, kind: str, text: str) -> DataFrame:
     """(owner, kind, mark, paths, masks) of the different headers of XML records; kind is a term. The lists are
     null where a task has sent the header of that mark before."""
+    ship(df.sparkSession)
     picked = df.select(df[owner].cast("bigint").alias("owner"), term(df[kind]).alias("kind"), df[text].alias("text")).where("kind is not null and owner is not null and text is not null")
     return picked.mapInArrow(_read_headers, "owner bigint, kind string, mark binary, paths array<string>, masks array<int>")
 
@@ -227,6 +228,7 @@ def file_schemas(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                 types.append([_spark_type(f.type) for f in schema])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string()))], names=["seq", "path", "names", "types"])
 
+    ship(spark)
     frame = spark.createDataFrame([*enumerate(paths)], "seq bigint, path string").repartition(min(len(paths), 256) or 1)
     return frame.mapInArrow(run, "seq bigint, path string, names array<string>, types array<string>")
 

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import ship
+
 _LOOKS_NESTED = re.compile(r'\s*[\[{"]')
 _NO_CONSTANT = json.JSONDecoder(parse_constant=lambda s: (_ for _ in ()).throw(ValueError(s)))
 
@@ -194,6 +196,7 @@ def flatten_texts(df: DataFrame, key: str, columns: dict[str, tuple[str, str]])
                 path, up, record = paths_of(nodes, xml=how == "xml")
                 yield pa.RecordBatch.from_arrays([pc.take(keys, pa.array(record)), pa.array([origin] * len(path), pa.string()), path, up], names=[key, "origin", "node_path", "parent_path"])
 
+    ship(df.sparkSession)
     picked = df.select(F.col(f"`{key}`").alias("_key"), *[F.col(f"`{c}`").alias(f"_text{i}") for i, (c, _) in enumerate(columns.values())])
     return picked.mapInArrow(run, out)
 
@@ -223,4 +226,5 @@ def explode_arrays(df: DataFrame, key: str, column: str) -> DataFrame:
             members = [pc.struct_field(values, [i]) for i in range(len(fields))] if pa.types.is_struct(values.type) else [values]
             yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), parents), pa.array(place, pa.int64()), *members], names=[f.name for f in out])
 
+    ship(df.sparkSession)
     return df.select(F.col(f"`{key}`"), F.col(f"`{column}`")).mapInArrow(run, out)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut
+from weftline.session import cut, ship
 
 #: Nodes of a fragment.
 FRAGMENT = 100_000
@@ -185,6 +185,7 @@ def resolve_forest(links: DataFrame, *, fragment: int = FRAGMENT) -> DataFrame:
     node that is its own ancestor, ``under_cycle`` for another below one, else ``tree``; only tree nodes have a
     root, depth, path (ids joined by ``/``) and count of descendants, the others -1, -1, '' and -1.
     """
+    ship(links.sparkSession)
     spark_links = links.select(F.col("scope").cast("bigint").alias("scope"), F.col("node").cast("bigint").alias("node"), F.col("parent").cast("bigint").alias("parent"))
     nodes = cut(
         spark_links.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import columns as C
+from weftline.session import ship
 
 
 def date_time(df: DataFrame, field: str, out: str | None = None, fmt: str = "%Y-%m-%d", *, to_text: bool = False) -> DataFrame:
@@ -108,6 +109,7 @@ def json_parse(df: DataFrame, field: str, *, name: str = "JSON_Name", value: str
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[f.name for f in out])
 
+    ship(df.sparkSession)
     return df.select(*[C.name(f.name) for f in kept], C.name(field).cast("string")).mapInArrow(run, out)
 
 
@@ -155,4 +157,5 @@ def xml_parse(df: DataFrame, field: str, paths: dict[str, str], *, rows: str | N
             columns = [pa.array(c, pa.string()) for c in zip(*values, strict=True)] if values else [pa.array([], pa.string()) for _ in paths]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in range(len(kept))), *columns], names=[f.name for f in out])
 
+    ship(df.sparkSession)
     return df.select(*[C.name(f.name) for f in kept], C.name(field).cast("string").alias("__xml")).mapInArrow(run, out)

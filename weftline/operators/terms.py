@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut
+from weftline.session import cut, ship
 
 #: Entries of a leaf before it bursts.
 BURST = 512
@@ -196,6 +196,7 @@ def count_terms(
     without a record key counts as an occurrence in no record. A repeated row counts as an occurrence again.
     No rows give no rows. Other columns are never read.
     """
+    ship(sources[0][0].sparkSession)
     parts = []
     for df, record, fields in sources:
         each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), term(df[c]).alias("term")) for name, c in fields.items()]))
