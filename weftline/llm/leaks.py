@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.text import compatible
+from weftline.session import ship
 
 #: Words of the items of one block.
 BLOCK_WORDS = 500_000
@@ -150,6 +151,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, ite
     Null and empty texts and prompts match nothing, nor do prompts shorter than a passage. A repeated item counts
     once, a repeated document row gives its rows again. Without items there are no rows.
     """
+    ship(docs.sparkSession)
     listed = items.select(F.col(f"`{item_id}`"), F.col(f"`{prompt}`")).where(F.col(f"`{prompt}`").isNotNull()).distinct()
     out = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("distance", T.IntegerType())])
     blocks: list[list[tuple[object, list[str]]]] = [[]]
