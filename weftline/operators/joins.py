@@ -158,12 +158,18 @@ def find_replace(targets: DataFrame, lookup: DataFrame, field: str, find: str, r
     return targets.withColumn(field, F.aggregate(table, c, lambda text, r: F.replace(text, r["a"], F.coalesce(r["b"], F.lit(""))))) if rules else targets
 
 
+def fuzzy_classes(df: DataFrame, key: str, field: str) -> DataFrame:
+    """(member, representative): rows of equal texts, as ``fuzzy_match`` compares them, and the smallest key of each class."""
+    texts = df.select(C.name(key).alias("member"), F.lower(C.strip(C.name(field))).alias("t")).where("t is not null and t <> ''")
+    return texts.join(texts.groupBy("t").agg(F.min("member").alias("representative")), "t").select("member", "representative")
+
+
 def fuzzy_match(df: DataFrame, key: str, field: str, *, threshold: float = 0.8) -> DataFrame:
     """Pairs (id_left, id_right, score) of rows whose texts are alike: score is 1 - edit distance / longer length.
 
     Rows are blocked: texts at distance d share one of d + 1 pieces at nearly the same place, so candidates come from an
     equi-join on pieces of texts of like length and no pair at or above the threshold is lost. Equal texts are one
-    candidate text; their rows meet only in the result's class representative, the smallest key.
+    candidate text, named by the smallest of their keys; ``fuzzy_classes`` has their members.
     """
     texts = df.select(C.name(key).alias("k"), F.lower(C.strip(C.name(field))).alias("t")).where("t is not null and t <> ''").groupBy("t").agg(F.min("k").alias("k"))
     sized = texts.withColumn("n", F.length("t"))
