@@ -160,3 +160,41 @@ def test_mixed_flow(spark):
     assert not done.blocked
     found = {(r["channel"], r["net"], r["low"], r["name"]) for r in done.frame(11, "Unique").collect()}
     assert found == {("web", 250.0, None, "Ann"), ("shop", None, 80.0, None)}
+
+
+def test_offline_analysis(spark):
+    flow = load(
+        document(
+            [
+                node(1, "DbFileInput", "<File>gone.csv</File>", '<MetaInfo connection="Output"><RecordInfo><Field name="ID" type="Int32"/><Field name="A" type="V_String"/></RecordInfo></MetaInfo>'), node(2, "DbFileInput", "<File>gone2.csv</File>"),
+                node(3, "Filter", "<Expression>[score] &gt; 1</Expression>"), node(4, "Join", '<JoinInfo connection="Left"><Field left="ID" right="key"/></JoinInfo>'), node(5, "BrowseV2"), node(6, "DbFileInput", "<File>gone3.csv</File>"), node(7, "BrowseV2"),
+            ],
+            [(1, "Output", 4, "Left"), (2, "Output", 3, ""), (3, "True", 4, "Right"), (4, "J", 5, ""), (6, "", 7, "")],
+        )
+    )
+    done = compile_workflow(flow, spark, offline=True)
+    assert done.frame(1).dtypes == [("ID", "int"), ("A", "string")] and done.frame(2).columns == ["score", "key"] and done.frame(6).columns == ["Record_Data"]
+    assert not done.blocked and done.frame(4, "Join").columns == ["ID", "A", "score", "key"]
+    assert {d.category for d in done.diagnostics if d.level == "INFO"} == {"external_dependency"}
+
+
+def test_hooks_extensions_and_views(spark):
+    from weftline.plans import compiler
+
+    compiler.register("Shout", lambda t: {"Output": t.one.df.selectExpr("upper(a) as a")}, aliases=("Loud",))
+    flow = load(document([node(1, "TextInput", '<Fields><Field name="a"/></Fields><Data><r><c>x</c></r></Data>'), node(2, "Loud"), node(3, "Python", "<Code>evil()</Code>")], [(1, "Output", 2, ""), (2, "", 3, "1")]))
+    done = compile_workflow(flow, spark, hooks={3: lambda frames: {"1": frames[0].selectExpr("concat(a, '!') as a")}})
+    assert rows(done.frame(3, "1")) == [("X!",)] and "Project" in done.describe(2)
+    assert "tool_3_1" in done.register_views() and rows(spark.sql("select a from tool_3_1")) == [("X!",)]
+    assert compile_workflow(flow, spark).blocked == {3}
+
+
+def test_command(spark, tmp_path, capsys):
+    import json
+
+    from weftline.__main__ import main
+
+    (tmp_path / "f.yxmd").write_bytes(document([node(1, "TextInput", '<Fields><Field name="a"/></Fields><Data><r><c>x</c></r></Data>'), node(2, "DbFileOutput", "<File>o.csv</File>")], [(1, "Output", 2, "")]))
+    assert main([str(tmp_path / "f.yxmd"), "--run", str(tmp_path)]) == 0
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said["order"] == [1, 2] and said["schemas"] == {"1.Output": {"a": "string"}} and list((tmp_path / "o.csv").glob("*.csv"))

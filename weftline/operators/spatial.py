@@ -42,6 +42,12 @@ def make_grid(df: DataFrame, point: str, size: float) -> DataFrame:
     return cells.withColumns({"lon": F.col("cell_x") * F.lit(size), "lat": F.col("cell_y") * F.lit(size)})
 
 
+def heat_map(df: DataFrame, point: str, size: float) -> DataFrame:
+    """(cell_x, cell_y, n): points per cell of ``size`` degrees."""
+    p = C.name(point)
+    return df.where(p.isNotNull()).groupBy(F.floor(p["lon"] / size).alias("cell_x"), F.floor(p["lat"] / size).alias("cell_y")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def find_nearest(targets: DataFrame, universe: DataFrame, key: str, point: str, other_key: str, other_point: str, km: float) -> dict[str, DataFrame]:
     """``Matched``: every target with the nearest point of the universe within ``km`` and its distance, of equally near ones the
     least key; ``Unmatched``: targets without one. Points meet by grid cells as wide as ``km``, each in its own and the

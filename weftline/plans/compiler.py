@@ -25,6 +25,7 @@ from weftline.plans import lineage as L
 from weftline.plans import registry
 from weftline.plans.document import Config, Tool, Workflow
 from weftline.plans.graph import Graph
+from weftline.plans.offline import empty_source
 from weftline.sources import files
 
 
@@ -53,6 +54,7 @@ class Pending:
     limit: int | None
 
 
+_SOURCES = {"Input Data", "Connect In-DB", "Directory", "Dynamic Input"}
 # Spellings of anchors.
 _SPELLINGS = {"t": "true", "f": "false", "j": "join", "l": "left", "r": "right", "u": "unique", "d": "duplicates", "": "output"}
 _LEFT = {"left", "find", "targets", "f", "#1", "target"}
@@ -120,6 +122,18 @@ class Compiled:
                 rows += [(o.table, o.field, target, name, o.kind) for name, origins in stream.origins.items() for o in origins]
         return self.spark.createDataFrame(sorted(set(rows), key=lambda r: (r[2], r[3], r[0], r[1])), "source_table string, source_field string, target_table string, target_field string, kind string")
 
+    def describe(self, tool_id: int, anchor: str = "Output") -> str:
+        """Spark's plan of an anchor."""
+        return self.frame(tool_id, anchor)._jdf.queryExecution().toString()
+
+    def register_views(self, prefix: str = "tool") -> list[str]:
+        """Every anchor as a temporary view for SQL: ``tool_5_true`` and so on."""
+        made = []
+        for (tool_id, anchor), s in self.streams.items():
+            made.append(f"{prefix}_{tool_id}_{anchor.lower()}")
+            s.df.createOrReplaceTempView(made[-1])
+        return made
+
     def tools_frame(self) -> DataFrame:
         rows = [(t.tool_id, t.definition.name, t.definition.category, t.definition.support, t.definition.blocking, t.tool_id in self.blocked) for t in self.flow.tools.values()]
         return self.spark.createDataFrame(rows, "tool_id int, tool string, category string, support string, is_blocking boolean, is_blocked boolean")
@@ -143,8 +157,13 @@ def _inputs(graph: Graph, tool_id: int, streams: Mapping[tuple[int, str], Stream
     return [resolve(streams, c.origin, c.origin_anchor) for c in sorted(graph.into[tool_id], key=side)]
 
 
-def compile_workflow(flow: Workflow, spark: SparkSession, *, base: str = "", inputs: Mapping[int, DataFrame] | None = None, persist: bool = False) -> Compiled:
-    """``inputs`` replaces the frames of sources by tool id. ``persist`` keeps streams that several tools read."""
+def compile_workflow(
+    flow: Workflow, spark: SparkSession, *, base: str = "", inputs: Mapping[int, DataFrame] | None = None, persist: bool = False, offline: bool = False,
+    hooks: Mapping[int, Callable[[list[DataFrame]], Mapping[str, DataFrame]]] | None = None,
+) -> Compiled:
+    """``inputs`` replaces the frames of sources by tool id. ``persist`` keeps streams that several tools read. ``offline``
+    gives sources that can't be read an empty frame of the fields the document tells of them. ``hooks`` stand in for tools
+    that run foreign code: functions from input frames to frames by anchor; embedded code itself is never run."""
     graph = Graph(flow)
     out = Compiled(flow, {}, [], set(), [], [], spark)
     for tool_id in graph.order():
@@ -154,10 +173,18 @@ def compile_workflow(flow: Workflow, spark: SparkSession, *, base: str = "", inp
             out.blocked.add(tool_id)
             continue
         try:
-            made = _build(tool, graph, out, spark, base, dict(inputs or {}), say)
+            if hooks and tool_id in hooks:
+                given = _inputs(graph, tool_id, out.streams)
+                made = {a: Stream(df, (), L.carried(df.columns, [i.origins for i in given])) for a, df in hooks[tool_id]([i.df for i in given]).items()}
+            else:
+                made = _build(tool, graph, out, spark, base, dict(inputs or {}), say)
         except (KeyError, ValueError, files.MissingDependency, X.ExpressionError, NotImplementedError) as e:
             say.append((e.args[0] if isinstance(e, NotImplementedError) else "build_error", str(e.args[-1] if e.args else e)))
             made = None
+            if offline and not graph.into[tool_id] and tool.definition.outputs and tool.definition.name in _SOURCES:
+                df = empty_source(spark, flow, graph, tool_id)
+                made = {"Output": Stream(df, (), L.direct(df.columns, tool.name or f"tool_{tool_id}"))}
+                say[:] = [x for x in say if x[0] != "build_error"]
         except Exception as e:  # what Spark refuses to analyse
             say.append(("build_error", str(e).splitlines()[0]))
             made = None
@@ -234,7 +261,17 @@ def _known(s: Stream, names: list[str], t: Task) -> list[str]:
     return [n for n in names if n in s.df.columns]
 
 
-@builds("Input Data", "Connect In-DB")
+@builds("Connect In-DB")
+def _database(t: Task) -> dict:
+    """A table of the session's catalogue, or of a database by JDBC where an address is given; filters on it are pushed down."""
+    name, url = t.config.text("Table", "Query"), t.config.text("Url", "Connection")
+    if not name:
+        raise ValueError("the tool names no table")
+    df = files.jdbc(t.spark, url, name) if url and url.startswith("jdbc:") else t.spark.table(name)
+    return {"Output": Stream(df, (), L.direct(df.columns, name))}
+
+
+@builds("Input Data")
 def _input(t: Task) -> dict:
     path = t.config.text("File", "Table")
     if not path:
@@ -661,6 +698,11 @@ def _distance(t: Task) -> dict:
     return {"Output": spatial.distance(t.one.df, t.config.text("SourceField", "Source"), t.config.text("DestinationField", "Destination"))}
 
 
+@builds("Heat Map")
+def _heat_map(t: Task) -> dict:
+    return {"Output": spatial.heat_map(t.one.df, t.config.text("SpatialField", "Field"), t.config.number("GridSize", default=1.0))}
+
+
 @builds("Make Grid")
 def _grid(t: Task) -> dict:
     return {"Output": spatial.make_grid(t.one.df, t.config.text("SpatialField", "Field"), t.config.number("GridSize", default=1.0))}
@@ -670,3 +712,10 @@ def _grid(t: Task) -> dict:
 def _nearest(t: Task) -> dict:
     c = t.config
     return spatial.find_nearest(t.inputs[0].df, t.inputs[1].df, c.text("TargetKey"), c.text("TargetField"), c.text("UniverseKey"), c.text("UniverseField"), c.number("MaxDistance", default=100))
+
+
+def register(name: str, build: Callable[[Task], dict], *, category: str = "Extension", inputs: tuple[str, ...] = ("Input",), outputs: tuple[str, ...] = ("Output",), aliases: tuple[str, ...] = ()) -> None:
+    """Add a tool, or replace one: ``build`` takes a ``Task`` and gives frames or streams by anchor. It is found by its name and
+    aliases, as by the last part of a plugin's name."""
+    registry.add(registry.ToolDefinition(category, name, registry.FULL, inputs, outputs, False, tuple(map(registry.plain, (name, *aliases)))))
+    BUILDERS[name] = build

@@ -159,3 +159,8 @@ def lookup(plugin: str) -> ToolDefinition:
         if plain(t) in _BY_ALIAS:
             return _BY_ALIAS[plain(t)]
     return UNKNOWN
+
+
+def add(tool: ToolDefinition) -> None:
+    """Make a tool known, before others of the same names."""
+    _BY_ALIAS.update(dict.fromkeys(tool.aliases, tool))
