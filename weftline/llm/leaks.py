@@ -12,8 +12,9 @@ index of one block, at most ``BLOCK_WORDS`` words; more items make more blocks.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -171,13 +172,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, ite
     return result
 
 
+_INDEXES: dict[str, Index] = {}
+
+
+def index_of(key: str, make: Callable[[], Index]) -> Index:
+    """The index of a block of items, made once per worker process; only the latest is kept."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = make()
+    return _INDEXES[key]
+
+
 def _searcher(block, passage_words: int, error_budget: int, doc_id: str, item_id: str, out: T.StructType):  # noqa: ANN001
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(out)
+    schema, key = to_arrow_schema(out), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(block.value, passage_words, error_budget)
+        index = index_of(key, lambda: Index(block.value, passage_words, error_budget))
         number = index.vocabulary.get
         for batch in batches:
             for at in range(0, len(batch), DOCS):
