@@ -35,7 +35,9 @@ def sort(df: DataFrame, order: Order) -> DataFrame:
 def placed(df: DataFrame, order: Order = ()) -> DataFrame:
     """Add partition and place within it, in the order of the rows over all partitions."""
     if order:
-        df = cut(df.repartitionByRange(*sort_columns(order)).sortWithinPartitions(*sort_columns(order)))
+        # the source's place as the last key: equal rows keep their order, and a frequent key is divided among partitions
+        keys = [*sort_columns(order), F.col(_PLACE)]
+        df = cut(df.withColumn(_PLACE, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_PLACE))
     at = F.monotonically_increasing_id()
     return df.withColumn(_PLACE, at).withColumns({_PART: F.shiftright(F.col(_PLACE), 33), _AT: F.col(_PLACE).bitwiseAND(_MASK)})
 
