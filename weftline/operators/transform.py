@@ -52,6 +52,11 @@ _ACTIONS: dict[str, Callable[[Column, Column | None], Column]] = {
 }
 
 
+def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows without a null key, told so that the scan can leave them out."""
+    return df.where(reduce(Column.__and__, [C.name(k).isNotNull() for k in keys])) if keys else df
+
+
 def _passes(actions: Sequence[Action]) -> list[list[tuple[int, Action]]]:
     """Actions that are aggregated together. Distinct counts make Spark group by their fields first, which would build the
     large buffers of medians, modes, lists and ordered picks for each of their values: they go apart from those."""
@@ -84,7 +89,7 @@ def summarize(df: DataFrame, actions: Sequence[Action], order: O.Order = (), *,
         return df.select(*[C.name(k.field).alias(k.out) for k in keys]).distinct()
     by = F.struct(*[C.name(c) for c, _ in order]) if order and all(up for _, up in order) else None
     if keys and not keep_null_keys:
-        df = df.dropna(subset=[k.field for k in keys])
+        df = _with_keys(df, [k.field for k in keys])
     by_key = [C.name(k.field).alias(f"__k{i}") for i, k in enumerate(keys)]
     made = None
     for part in _passes(rest):
@@ -126,7 +131,8 @@ def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, metho
         c = c.try_cast("double")
         if diagnostics is not None:
             diagnostics.append(("type_mismatch", f"{data} is text and is summed as numbers"))
-    rows = df.select(*[C.name(g) for g in group], C.name(header).cast("string").alias("__h"), c.alias("__d")).dropna(subset=[*group, "__h"])
+    rows = df.select(*[C.name(g) for g in group], C.name(header).cast("string").alias("__h"), c.alias("__d"))
+    rows = _with_keys(rows, [*group, "__h"])
     if values is None:
         values = sorted(r[0] for r in rows.select("__h").distinct().limit(limit + 1).collect())
         if len(values) > limit:
