@@ -132,6 +132,28 @@ def test_flatten_against_brute_force(spark):
     assert flatten_texts(df.limit(0), "k", {"xml": ("x", "xml")}).count() == 0
 
 
+def test_deep_json():
+    from weftline.operators.flatten import _decode_deep, load_json
+
+    for good in JSONS[3:] + ['[1, -2.5e3, "a\\n\\u00e9", true, false, null, {"a": []}]', ' { "a" : [ 1 , 2 ] , "b" : { } } ']:
+        try:
+            want = json.loads(good, parse_int=str, parse_float=str, parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            with pytest.raises(ValueError):
+                _decode_deep(good)
+        else:
+            assert _decode_deep(good) == want
+    for bad in ("", "[", "[1,]", '{"a"}', '{"a":1,}', "{1:2}", "[1 2]", "tru", "01", '"a', "[]]"):
+        with pytest.raises(ValueError):
+            _decode_deep(bad)
+    deep = 60_000
+    value = load_json("[" * deep + "{}" + "]" * deep)
+    depth = 0
+    while isinstance(value, list):
+        value, depth = value[0], depth + 1
+    assert depth == deep and value == {}
+
+
 def test_explode_arrays(spark):
     df = spark.createDataFrame([(1, [("a", 1), ("b", None)]), (2, []), (3, None), (4, [None, ("c", 2)]), (1, [("a", 1)])], "k int, v array<struct<name:string,k:int>>")
     assert rows(explode_arrays(df, "k", "v")) == sorted([(1, 0, "a", 1), (1, 1, "b", None), (4, 0, None, None), (4, 1, "c", 2), (1, 0, "a", 1)], key=str)

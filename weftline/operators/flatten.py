@@ -76,17 +76,92 @@ def read_xml(texts: list[str | None], nodes: Nodes) -> None:
         open_nodes.clear()
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_LITERALS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def decode(text: str) -> object:
+    """The value of a JSON text; ValueError if it isn't valid."""
+    try:
+        return _NO_CONSTANT.decode(text)
+    except RecursionError:
+        return _decode_deep(text)
+
+
+def _decode_deep(s: str) -> object:
+    """The same without recursion, for texts nested deeper than the C parser goes."""
+    open_: list[tuple[dict | list, str | None]] = []
+
+    def skip(i: int) -> int:
+        return _SPACE.match(s, i).end()
+
+    def member(i: int) -> tuple[str, int]:
+        """Key and place of its value."""
+        i = skip(i)
+        if s[i : i + 1] != '"':
+            raise ValueError("a key is missing")
+        key, i = json.decoder.scanstring(s, i + 1, True)
+        i = skip(i)
+        if s[i : i + 1] != ":":
+            raise ValueError("a colon is missing")
+        return key, skip(i + 1)
+
+    i = skip(0)
+    while True:
+        c = s[i : i + 1]
+        if c in ("{", "["):
+            inner = skip(i + 1)
+            value: object = {} if c == "{" else []
+            if s[inner : inner + 1] != ("}" if c == "{" else "]"):
+                key, i = member(inner) if c == "{" else (None, inner)
+                open_.append((value, key))
+                continue
+            i = inner + 1
+        elif c == '"':
+            value, i = json.decoder.scanstring(s, i + 1, True)
+        elif c in _LITERALS and s.startswith(_LITERALS[c][0], i):
+            value, i = _LITERALS[c][1], i + len(_LITERALS[c][0])
+        elif number := _NUMBER.match(s, i):
+            value, i = number.group(), number.end()
+        else:
+            raise ValueError("a value is missing")
+        while True:
+            i = skip(i)
+            if not open_:
+                if i != len(s):
+                    raise ValueError("something follows the value")
+                return value
+            holder, key = open_[-1]
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            c = s[i : i + 1]
+            if c == ",":
+                if isinstance(holder, dict):
+                    key, i = member(i + 1)
+                    open_[-1] = (holder, key)
+                else:
+                    i = skip(i + 1)
+                break
+            if c != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError("a bracket is missing")
+            value, i = holder, i + 1
+            open_.pop()
+
+
 def load_json(text: str) -> object:
     """The value of a JSON text. A string that holds JSON counts as its content. ValueError if it isn't valid."""
-    value = _NO_CONSTANT.decode(text)
+    value = decode(text)
     return unwrap(value) if isinstance(value, str) else value
 
 
 def unwrap(value: str) -> object:
     while isinstance(value, str) and _LOOKS_NESTED.match(value):
         try:
-            value = _NO_CONSTANT.decode(value)
-        except (ValueError, RecursionError):
+            value = decode(value)
+        except ValueError:
             break
     return value
 
@@ -99,7 +174,7 @@ def read_json(texts: list[str | None], nodes: Nodes) -> None:
             continue
         try:
             value = load_json(text)
-        except (ValueError, RecursionError):
+        except ValueError:
             continue
         if not isinstance(value, (dict, list)):
             continue

@@ -92,7 +92,7 @@ def json_parse(df: DataFrame, field: str, *, name: str = "JSON_Name", value: str
                     continue
                 try:
                     stack = [("", load_json(text))]
-                except (ValueError, RecursionError):
+                except ValueError:
                     continue
                 while stack:
                     path, v = stack.pop()
