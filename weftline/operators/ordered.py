@@ -114,7 +114,9 @@ def with_rows(df: DataFrame, made: dict[str, X.Node], group: Sequence[str], orde
         ctx = C.context(df.schema, window=C.ordered(order or [(_PLACE, True)], group))
         return rows.withColumns({f: C.compile_node(node, ctx).col for f, node in made.items()}).drop(_PLACE, _PART, _AT)
     # without groups: rows meet their neighbours by number, in a join instead of one task
-    rows = cut(numbered(df, "__row", order))
+    rows = numbered(df, "__row", order)
+    if not order:  # else the sorted rows are kept already; numbers must not change between the sides
+        rows = cut(rows)
     out = rows
     for s in sorted(shifts):
         other = rows.select((F.col("__row") - s).alias("__row"), *[C.name(c).alias(f"__{s}_{c}") for c in df.columns])
