@@ -158,34 +158,63 @@ def find_replace(targets: DataFrame, lookup: DataFrame, field: str, find: str, r
     return targets.withColumn(field, F.aggregate(table, c, lambda text, r: F.replace(text, r["a"], F.coalesce(r["b"], F.lit(""))))) if rules else targets
 
 
-def fuzzy_classes(df: DataFrame, key: str, field: str) -> DataFrame:
-    """(member, representative): rows of equal texts, as ``fuzzy_match`` compares them, and the smallest key of each class."""
-    texts = df.select(C.name(key).alias("member"), F.lower(C.strip(C.name(field))).alias("t")).where("t is not null and t <> ''")
-    return texts.join(texts.groupBy("t").agg(F.min("member").alias("representative")), "t").select("member", "representative")
+def _texts(df: DataFrame, key: str, field: str) -> DataFrame:
+    """(k, t): keys and their texts as ``fuzzy_match`` compares them, without nulls and blanks."""
+    return df.select(C.name(key).alias("k"), F.lower(C.strip(C.name(field))).alias("t")).where("t is not null and t <> ''")
 
 
-def fuzzy_match(df: DataFrame, key: str, field: str, *, threshold: float = 0.8) -> DataFrame:
-    """Pairs (id_left, id_right, score) of rows whose texts are alike: score is 1 - edit distance / longer length.
-
-    Rows are blocked: texts at distance d share one of d + 1 pieces at nearly the same place, so candidates come from an
-    equi-join on pieces of texts of like length and no pair at or above the threshold is lost. Equal texts are one
-    candidate text, named by the smallest of their keys; ``fuzzy_classes`` has their members.
-    """
-    texts = df.select(C.name(key).alias("k"), F.lower(C.strip(C.name(field))).alias("t")).where("t is not null and t <> ''").groupBy("t").agg(F.min("k").alias("k"))
-    sized = texts.withColumn("n", F.length("t"))
+def _alike(texts: DataFrame, threshold: float) -> DataFrame:
+    """(t1, t2, score) of different texts of the column t, each pair once."""
+    sized = texts.select("t").distinct().withColumn("n", F.length("t"))
     most = lambda n: F.floor(n * (1 - threshold) + 1e-9).cast("int")  # edits that a longer text of n characters allows
     size = F.greatest(F.floor(F.col("m") / (F.col("d") + 1)), F.lit(1)).cast("int")
     # m and n: lengths of the shorter and the longer text; the shorter is cut into d + 1 pieces, the longer read within d places
-    short = sized.select("k", "t", F.col("n").alias("m"), F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))).alias("n"))
+    short = sized.select("t", F.col("n").alias("m"), F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))).alias("n"))
     short = short.withColumn("d", most(F.col("n"))).withColumn("size", size)
-    short = short.select(F.col("k").alias("k1"), F.col("t").alias("t1"), "m", "n", F.explode(F.expr("transform(sequence(0, d), i -> struct(i as i, substring(t, i * size + 1, size) as s))")).alias("x"))
+    short = short.select(F.col("t").alias("t1"), "m", "n", F.explode(F.expr("transform(sequence(0, d), i -> struct(i as i, substring(t, i * size + 1, size) as s))")).alias("x"))
     shortest = F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(1)).cast("int")
-    long = sized.select("k", "t", "n", F.explode(F.sequence(shortest, F.col("n"))).alias("m")).withColumn("d", most(F.col("n"))).withColumn("size", size)
-    long = long.select(F.col("k").alias("k2"), F.col("t").alias("t2"), "m", "n", F.explode(F.expr("flatten(transform(sequence(0, d), i -> transform(sequence(greatest(i * size - d, 0), i * size + d), a -> struct(i as i, substring(t, a + 1, size) as s))))")).alias("x"))
-    pairs = short.select("k1", "t1", "m", "n", "x.i", "x.s").where("s <> ''").join(long.select("k2", "t2", "m", "n", "x.i", "x.s").where("s <> ''"), ["m", "n", "i", "s"]).where("k1 <> k2")
-    pairs = pairs.select(F.least("k1", "k2").alias("id_left"), F.greatest("k1", "k2").alias("id_right"), "t1", "t2", "n").dropDuplicates(["id_left", "id_right"])
-    score = 1 - F.levenshtein("t1", "t2") / F.col("n")
-    return pairs.withColumn("score", score).where(F.col("score") >= threshold).select("id_left", "id_right", "score")
+    long = sized.select("t", "n", F.explode(F.sequence(shortest, F.col("n"))).alias("m")).withColumn("d", most(F.col("n"))).withColumn("size", size)
+    long = long.select(F.col("t").alias("t2"), "m", "n", F.explode(F.expr("flatten(transform(sequence(0, d), i -> transform(sequence(greatest(i * size - d, 0), i * size + d), a -> struct(i as i, substring(t, a + 1, size) as s))))")).alias("x"))
+    pairs = short.select("t1", "m", "n", "x.i", "x.s").where("s <> ''").join(long.select("t2", "m", "n", "x.i", "x.s").where("s <> ''"), ["m", "n", "i", "s"])
+    pairs = pairs.where("t1 <> t2").select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), "n")
+    # verified before the shuffle of the duplicates: candidates are many, pairs few
+    pairs = pairs.withColumn("score", 1 - F.levenshtein("t1", "t2") / F.col("n")).where(F.col("score") >= threshold)
+    return pairs.select("t1", "t2", "score").dropDuplicates(["t1", "t2"])
+
+
+def fuzzy_match(df: DataFrame, key: str, field: str, *, threshold: float = 0.8) -> DataFrame:
+    """Pairs (id_left, id_right, score) of different texts that are alike: score is 1 - edit distance / longer length.
+
+    Rows are blocked: texts at distance d share one of d + 1 pieces at nearly the same place, so candidates come from an
+    equi-join on pieces of texts of like length and no pair at or above the threshold is lost. Equal texts are one
+    text here, named by the smallest of their keys: ``fuzzy_pairs`` has all rows, ``fuzzy_members`` who belongs to which text.
+    """
+    texts = _texts(df, key, field).groupBy("t").agg(F.min("k").alias("k"))
+    pairs = _alike(texts, threshold).join(texts.toDF("t1", "k1"), "t1").join(texts.toDF("t2", "k2"), "t2").where("k1 <> k2")
+    return pairs.select(F.least("k1", "k2").alias("id_left"), F.greatest("k1", "k2").alias("id_right"), "score")
+
+
+def fuzzy_pairs(df: DataFrame, key: str, field: str, *, threshold: float = 0.8) -> DataFrame:
+    """(id_left, id_right, score): every pair of different keys whose texts are alike, equal texts with score 1. A key with
+    several texts counts with the best of them. Only different texts are compared, but the result is as large as the pairs
+    are: a text of n keys makes n * (n - 1) / 2 of them. ``fuzzy_members`` says the same in one row a key and text."""
+    members = _texts(df, key, field).distinct()
+    left, right = members.toDF("k1", "t1"), members.toDF("k2", "t2")
+    equal = left.join(right, F.col("t1") == F.col("t2")).where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("score"))
+    alike = _alike(members, threshold).join(left, "t1").join(right, "t2").where("k1 <> k2").select("k1", "k2", "score")
+    pairs = equal.unionByName(alike).groupBy(F.least("k1", "k2").alias("id_left"), F.greatest("k1", "k2").alias("id_right"))
+    return pairs.agg(F.max("score").alias("score"))
+
+
+def fuzzy_members(df: DataFrame, key: str, field: str, *, threshold: float = 0.8) -> DataFrame:
+    """(member, representative, members, links): every key with each of its texts, the smallest key of the equal texts, how many
+    keys have that text, and how many other texts are alike. A class of copies is a result also where no other text is alike."""
+    members = _texts(df, key, field).distinct()
+    classes = members.groupBy("t").agg(F.min("k").alias("representative"), F.count(F.lit(1)).alias("members"))
+    alike = _alike(members, threshold)
+    links = alike.select("t1").union(alike.select("t2")).toDF("t").groupBy("t").agg(F.count(F.lit(1)).alias("links"))
+    joined = members.join(classes, "t").join(links, "t", "left")
+    return joined.select(F.col("k").alias("member"), "representative", "members", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
 def make_group(edges: DataFrame, a: str, b: str) -> DataFrame:

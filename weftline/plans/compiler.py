@@ -569,7 +569,8 @@ def _find_replace(t: Task) -> dict:
 
 @builds("Fuzzy Match")
 def _fuzzy(t: Task) -> dict:
-    return {"Output": joins.fuzzy_match(t.one.df, t.config.text("KeyField", "RecordID"), t.config.text("MatchField", "Field"), threshold=t.config.number("Threshold", default=80) / 100)}
+    key, name, threshold = t.config.text("KeyField", "RecordID"), t.config.text("MatchField", "Field"), t.config.number("Threshold", default=80) / 100
+    return {"Output": joins.fuzzy_pairs(t.one.df, key, name, threshold=threshold), "Members": joins.fuzzy_members(t.one.df, key, name, threshold=threshold)}
 
 
 @builds("Make Group")

@@ -36,7 +36,7 @@ Preparation | Create Samples | full | Input | Estimation,Validation,Holdout | |
 Preparation | Multi-Field Binning | partial | Input | Output | b |
 Join | Append Fields | full | Targets,Source | Output | |
 Join | Find Replace | full | Targets,Source | Output | |
-Join | Fuzzy Match | partial | Input | Output | b |
+Join | Fuzzy Match | partial | Input | Output,Members | b |
 Join | Join | full | Left,Right | Left,Join,Right | |
 Join | Join Multiple | full | Input | Output | |
 Join | Make Group | partial | Input | Output | b |

@@ -378,6 +378,25 @@ def fuzzy_match(s: SparkSession, d: str) -> DataFrame:
     return _r(joins.fuzzy_match(T(s, d, "customer_profiles"), "cust_id", "name", threshold=0.9), "score", digits=6)
 
 
+_MEMBERS = "m as (select distinct cust_id as k, lower(trim(name)) as t from customer_profiles where trim(name) <> '')"
+_SCORE = "1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))"
+
+
+@query(f"""with {_MEMBERS}
+select a.k as id_left, b.k as id_right, round(max({_SCORE}), 6) as score from m a join m b on a.k < b.k where {_SCORE} >= 0.8 group by 1, 2""")
+def fuzzy_match_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows, equal texts too, at the operator's own threshold."""
+    return _r(joins.fuzzy_pairs(T(s, d, "customer_profiles"), "cust_id", "name"), "score", digits=6)
+
+
+@query(f"""with {_MEMBERS}, c as (select t, min(k) as representative, count(*)::bigint as members from m group by 1),
+l as (select a.t, count(*)::bigint as links from c a join c b on a.t <> b.t where {_SCORE} >= 0.8 group by 1)
+select k as member, representative, members, coalesce(links, 0)::bigint as links from m join c using (t) left join l using (t)""")
+def fuzzy_match_members(s: SparkSession, d: str) -> DataFrame:
+    """Every row with the class of its text."""
+    return joins.fuzzy_members(T(s, d, "customer_profiles"), "cust_id", "name")
+
+
 @query("""with recursive e as (select distinct workflow_id * 1000 + tool_id as u, workflow_id * 1000 + parent_container_id as v from containers where parent_container_id is not null),
 b as (select u, v from e union select v, u from e),
 w as (select u as member, u as m from b union select w.member, b.v from w join b on w.m = b.u)
