@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -121,10 +122,27 @@ def running_total(df: DataFrame, field: str, group: Sequence[str] = (), order: O
 _CROSS: dict[str, str] = {"sum": "sum", "avg": "avg", "mean": "avg", "count": "count", "countdistinct": "countdistinct", "min": "min", "max": "max", "first": "first", "last": "last", "concat": "concat"}
 
 
-def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, method: str = "sum", values: Sequence[str] | None = None, diagnostics: list | None = None, limit: int = 10_000) -> DataFrame:
+def _placed(values: Sequence[str], declared: Sequence[str], header: str, diagnostics: list) -> list[str]:
+    """All values, those that are declared first."""
+    left = dict.fromkeys(values)
+    out: list[str] = []
+    for name in declared:
+        same = [name] if name in left else [v for v in left if v not in declared and re.sub(r"\W", "_", v) == name]
+        if not same and name not in out:
+            diagnostics.append(("header_values", f"{header} has no value {name}: the field is empty"))
+        out += [v for v in same or [name] if v not in out]
+        for v in same:
+            del left[v]
+    if left:
+        diagnostics.append(("header_values", f"{header} has {len(left)} values that the document does not know"))
+    return [*out, *left]
+
+
+def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, method: str = "sum", values: Sequence[str] | None = None, diagnostics: list | None = None, limit: int = 10_000, declared: Sequence[str] = ()) -> DataFrame:
     """One field per value of the header, sorted; empty cells are null. Rows with a null group or header are left out. Without
     group fields there is one row, named by the data field. Text is summed and averaged as numbers. Known ``values`` save the
-    job that collects them; more than ``limit`` headers are an error."""
+    job that collects them; more than ``limit`` headers are an error. ``declared`` names come first, in their order: a header in the
+    place of its name, as it is or with other characters than letters and digits as underscores, else an empty field."""
     how = _CROSS.get(method.lower(), "sum")
     c = C.name(data)
     if how in ("sum", "avg") and C.kind_of(df.schema[data].dataType) == C.STR:
@@ -137,6 +155,8 @@ def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, metho
         values = sorted(r[0] for r in rows.select("__h").distinct().limit(limit + 1).collect())
         if len(values) > limit:
             raise ValueError(f"{header} has more than {limit} values")
+        if declared:
+            values = _placed(values, declared, header, diagnostics if diagnostics is not None else [])
     if how == "concat":
         agg = F.array_join(F.sort_array(F.collect_list(F.col("__d").cast("string"))), ", ")
         agg = F.when(F.count("__d") > 0, agg)

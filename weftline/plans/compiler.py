@@ -663,8 +663,9 @@ def _cross_tab(t: Task) -> dict:
     method = next((x.get("method") for x in t.config.each("Method") + t.config.each("Methods/Method") if x.get("method")), None) or t.config.text("Method") or "Sum"
     header, data = t.config.text("HeaderField"), t.config.text("DataField")
     group = _known(t.one, _groups(t.config), t)
-    known = [f.name for f in t.tool.fields if f.name not in group] or None
-    df = transform.cross_tab(t.one.df, group, header, data, method, known, t.say)
+    # what an earlier run saw: an order of fields, not the list of values
+    declared = [f.name for f in t.tool.fields if f.name not in (group or ["index"])]
+    df = transform.cross_tab(t.one.df, group, header, data, method, diagnostics=t.say, declared=declared)
     return {"Output": Stream(df, (), L.pivoted(df.columns, group, [data, header], t.one.origins))}
 
 
