@@ -17,6 +17,11 @@ from weftline.functions import columns as C
 _CODES = {"0": "csv", "19": "xlsx", "25": "yxdb"}
 _EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "xlsx", "xls": "xlsx", "xlsm": "xlsx", "json": "json", "parquet": "parquet", "orc": "orc", "yxdb": "yxdb"}
 
+# Quotes in a csv value are doubled (RFC 4180), as pandas reads and writes them.
+_QUOTES = {"quote": '"', "escape": '"'}
+# What is written is all that is there, blanks at the ends too.
+_WHOLE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 #: Rows an Excel sheet may take from Spark.
 EXCEL_ROWS = 1_048_575
 
@@ -60,16 +65,17 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(C.name(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats}) if floats else df
 
 
-def read(spark: SparkSession, at: Location, *, schema: T.StructType | str | None = None, limit: int | None = None, delimiter: str = ",", header: bool = True, base: str = "") -> DataFrame:
+def read(spark: SparkSession, at: Location, *, schema: T.StructType | str | None = None, limit: int | None = None, delimiter: str = ",", header: bool = True, base: str = "", splittable: bool = False) -> DataFrame:
     """A lazy frame of the file. Csv types are inferred unless a schema is given; a limit of 0 or None is none. yxdb files are
-    read from the parquet or csv file next to them."""
+    read from the parquet or csv file next to them. A csv file is read by one task, as quoted values may have line breaks;
+    ``splittable`` divides it where there are none."""
     path = at.path if not base or "://" in at.path or os.path.isabs(at.path) else os.path.join(base, at.path)
     kind = at.format
     if kind == "yxdb":
         stem = path.rsplit(".", 1)[0]
         kind, path = ("parquet", f"{stem}.parquet") if os.path.exists(f"{stem}.parquet") else ("csv", f"{stem}.csv")
     if kind == "csv":
-        reader = spark.read.option("header", header).option("sep", delimiter).option("multiLine", False)
+        reader = spark.read.option("header", header).option("sep", delimiter).options(**_QUOTES, multiLine=not splittable)
         df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     elif kind == "json":
         reader = spark.read.option("multiLine", not _json_lines(spark, path))
@@ -109,7 +115,7 @@ def dynamic_input(df: DataFrame, field: str, fmt: str = "parquet", limit: int =
     paths = [r[0] for r in df.select(C.name(field)).where(C.name(field).isNotNull()).distinct().limit(limit + 1).collect()]
     if len(paths) > limit:
         raise ValueError(f"more than {limit} files")
-    reader = df.sparkSession.read.option("header", True).option("inferSchema", True) if fmt == "csv" else df.sparkSession.read
+    reader = df.sparkSession.read.option("header", True).option("inferSchema", True).options(**_QUOTES, multiLine=True) if fmt == "csv" else df.sparkSession.read
     return reader.format(fmt).load(sorted(paths)).withColumn("FileName", F.col("_metadata.file_path"))
 
 
@@ -140,6 +146,6 @@ def write(df: DataFrame, at: Location, *, mode: str = "overwrite", limit: int |
     if partition_by:
         out = out.partitionBy(*partition_by)
     if at.format == "csv":
-        out.option("header", True).csv(path)
+        out.option("header", True).options(**_QUOTES, **_WHOLE).csv(path)
     else:
         out.format({"yxdb": "parquet"}.get(at.format, at.format)).save(path)
