@@ -151,12 +151,22 @@ def generate_rows(spark: SparkSession, field: str = "RowCount", start: int = 1,
     return spark.range(start, stop + (1 if step > 0 else -1), step).select(F.col("id").alias(field))
 
 
-def generate_rows_of(df: DataFrame, field: str, start: str, stop: str, step: int = 1) -> DataFrame:
-    """For every row the numbers between two expressions; none where the first is beyond the second."""
+def generate_rows_of(df: DataFrame, field: str, start: str | X.Node, stop: str | X.Node, step: float = 1, *, strict: bool = False) -> DataFrame:
+    """For every row the numbers between two expressions, without the second where ``strict``; none where the first is beyond
+    the second. Whole numbers unless the first or the step is none."""
     ctx = C.context(df.schema)
-    a, b = C.compile_text(start, ctx).col.cast("bigint"), C.compile_text(stop, ctx).col.cast("bigint")
-    within = a <= b if step > 0 else a >= b
-    return df.where(within).withColumn(field, F.explode(F.sequence(a, b, F.lit(step).cast("bigint"))))
+    a, b = ((C.compile_text(x, ctx) if isinstance(x, str) else C.compile_node(x, ctx)).col for x in (start, stop))
+    kind = df.select(a.alias("a")).schema["a"].dataType
+    if float(step).is_integer() and isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.NullType)):
+        a, b = a.cast("bigint"), b if isinstance(df.select(b.alias("b")).schema["b"].dataType, T.IntegralType) else b.cast("double")
+        last = F.ceil(b) - 1 if strict and step > 0 else F.floor(b) + 1 if strict else F.floor(b) if step > 0 else F.ceil(b)
+        last = last.cast("bigint")
+        within = a <= last if step > 0 else a >= last
+        return df.where(within).withColumn(field, F.explode(F.sequence(a, last, F.lit(int(step)).cast("bigint"))))
+    a, b = a.cast("double"), b.cast("double")
+    steps = (b - a) / F.lit(float(step))
+    steps = (F.ceil(steps - 1e-9) - 1 if strict else F.floor(steps + 1e-9)).cast("bigint")
+    return df.where(steps >= 0).withColumn(field, F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), steps), lambda i: a + i * F.lit(float(step)))))
 
 
 def cleanse(df: DataFrame, fields: Sequence[str] = (), *, trim: bool = True, remove_whitespace: bool = False, case: str | None = None, remove_null: bool = False, replace_null: bool = False, remove: str | None = None) -> DataFrame:

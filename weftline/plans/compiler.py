@@ -213,7 +213,7 @@ def _build(tool: Tool, graph: Graph, out: Compiled, spark: SparkSession, base: s
             return {"Output": s for s in _inputs(graph, tool.tool_id, out.streams)[:1]}
         raise NotImplementedError("partial_support" if d.support == registry.PARTIAL else "external_execution", f"{d.name} is not executed")
     inputs = _inputs(graph, tool.tool_id, out.streams)
-    if d.inputs and not inputs:
+    if d.inputs and not inputs and d.name != "Generate Rows":
         raise ValueError("the tool has no input")
     task = Task(spark, tool, inputs, base, say, out.pending, out.dependencies, {_SPELLINGS.get(a.lower(), a.lower()) for a in graph.consumed(tool.tool_id)})
     made = build(task)
@@ -408,15 +408,57 @@ def _multi_row(t: Task) -> dict:
     return {"Output": ordered.multi_row_formula(t.one.df, "Lag_Value", f"[Row-1:{first}]", (), t.one.order)}
 
 
+def _constant(node: X.Node) -> float | None:
+    if isinstance(node, X.Unary) and node.op == "-":
+        value = _constant(node.operand)
+        return None if value is None else -value
+    return node.value if isinstance(node, X.Literal) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool) else None
+
+
+def _loop(name: str, condition: str | None, loop: str | None) -> tuple[X.Node, float, bool]:
+    """(end, step, whether the end is left out) of a loop that counts a field up or down; ValueError for all others."""
+    own = X.Field(name)
+    step: float | None = 1
+    if loop:
+        match X.parse(loop):
+            case X.Binary("+", left, right) if own in (left, right):
+                step = _constant(right if left == own else left)
+            case X.Binary("-", left, right) if left == own:
+                step = _constant(X.Unary("-", right))
+            case _:
+                step = None
+    if not step:
+        raise ValueError(f"the loop {loop} cannot be read: a constant step is expected")
+    if not condition:
+        return X.Literal(10), step, False
+    match X.parse(condition):
+        case X.Binary(("<" | "<=" | ">" | ">=") as op, left, right) if (left == own) != (right == own):
+            end = right if left == own else left
+            up = (op[0] == "<") == (left == own)
+        case _:
+            raise ValueError(f"the condition {condition} cannot be read: [{name}] compared with its end is expected")
+    if own in list(X.walk(end)):
+        raise ValueError(f"the condition {condition} cannot be read: its end depends on [{name}]")
+    if up != (step > 0):
+        raise ValueError(f"the loop {loop or '+ 1'} never ends the condition {condition}")
+    return end, step, len(op) == 1
+
+
 @builds("Generate Rows")
 def _generate(t: Task) -> dict:
-    name = t.config.text("CreateField_Name", "FieldName", default="RowCount")
-    start = int(t.config.number("Expression_Init", "StartValue", default=1))
-    bound = re.search(r"(<=|<|>=|>)\s*(-?\d+)", t.config.raw("Expression_Cond") or "")
-    step = re.search(r"([+-])\s*(\d+)", t.config.raw("Expression_Loop") or "")
-    by = int(step.group(1) + step.group(2)) if step else 1
-    stop = int(bound.group(2)) - (by > 0) * (bound.group(1) == "<") + (by < 0) * (bound.group(1) == ">") if bound else 10
-    return {"Output": prepare.generate_rows(t.spark, name, start, stop, by)}
+    """The rows of the loop for every row of the input, or once without one; without configuration 1 to 10."""
+    name = t.config.text("CreateField_Name", "UpdateField_Name", "FieldName", default="RowCount")
+    start = X.parse(t.config.text("Expression_Init", "StartValue", default="1"))
+    end, step, strict = _loop(name, t.config.text("Expression_Cond"), t.config.text("Expression_Loop"))
+    known = t.one.df.columns if t.inputs else []
+    if missing := [f for x in (start, end) for f in X.fields(x) if f not in known]:
+        raise ValueError(f"there is no field {missing[0]}")
+    if t.inputs:
+        return {"Output": Stream(prepare.generate_rows_of(t.one.df, name, start, end, step, strict=strict), (), t.one.origins | {name: L.derived(X.fields(start) + X.fields(end), t.one.origins, name)})}
+    a, b = _constant(start), _constant(end)
+    if all(isinstance(x, int) for x in (a, b, step)):
+        return {"Output": prepare.generate_rows(t.spark, name, a, b - strict * (1 if step > 0 else -1), step)}
+    return {"Output": prepare.generate_rows_of(t.spark.range(1), name, start, end, step, strict=strict).select(C.name(name))}
 
 
 @builds("Data Cleansing", "Data Cleanse Pro")
