@@ -53,14 +53,19 @@ def find_nearest(targets: DataFrame, universe: DataFrame, key: str, point: str,
     least key; ``Unmatched``: targets without one. Points meet by grid cells as wide as ``km``, each in its own and the
     neighbouring cells, so no target meets all points."""
     size = km / 111.0
-    # a degree of longitude shrinks towards the poles: cells follow bands of latitude
+    # a degree of longitude shrinks towards the poles: cells follow bands of latitude. As many cells as are at least as wide as
+    # km at the band's end nearer to a pole; one where km reaches over the pole
     band = lambda p: F.floor(p["lat"] / size)
-    width = lambda b: F.lit(size) / F.greatest(F.cos(F.radians(F.least(F.abs(b * size) + 2 * size, F.lit(89.9)))), F.lit(1e-3))
+    edge = lambda b: F.greatest(F.abs(b), F.abs(b + 1)) * F.lit(size)
+    width = lambda b: F.degrees(F.asin(F.least(F.sin(F.radians(F.lit(size))) / F.cos(F.radians(edge(b))), F.lit(1.0))))
+    cells = lambda b: F.when(edge(b) + F.lit(size) < 90, F.greatest(F.floor(360 / (width(b) * (1 + 1e-9))), F.lit(1))).otherwise(F.lit(1)).cast("bigint")
+    cell = lambda p: F.pmod(F.floor((p["lon"] + 180) / 360 * F.col("__cells")), F.col("__cells"))
     t = targets.where(C.name(point).isNotNull()).withColumn("__band", F.explode(F.array(*[band(C.name(point)) + d for d in (-1, 0, 1)])))
-    t = t.withColumn("__at", F.floor(C.name(point)["lon"] / width(F.col("__band"))))
-    t = t.withColumn("__cell", F.explode(F.array(*[F.col("__at") + d for d in (-1, 0, 1)])))
+    t = t.withColumn("__cells", cells(F.col("__band"))).withColumn("__at", cell(C.name(point)))
+    # the last cell's neighbour is the first: the same cell more than once where a band has few
+    t = t.withColumn("__cell", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("__at") + d, F.col("__cells")) for d in (-1, 0, 1)])))).drop("__cells", "__at")
     u = universe.where(C.name(other_point).isNotNull()).select(C.name(other_key).alias("__k"), C.name(other_point).alias("__p"))
-    u = u.withColumn("__band", band(F.col("__p"))).withColumn("__cell", F.floor(F.col("__p")["lon"] / width(F.col("__band"))))
+    u = u.withColumn("__band", band(F.col("__p"))).withColumn("__cells", cells(F.col("__band"))).withColumn("__cell", cell(F.col("__p"))).drop("__cells")
     near = t.join(u, ["__band", "__cell"]).withColumn("__d", haversine(C.name(point), F.col("__p"))).where(F.col("__d") <= km)
     best = near.groupBy(C.name(key)).agg(F.min(F.struct("__d", "__k")).alias("__best"))
     best = best.select(C.name(key).alias("__t"), F.col("__best.__k").alias(f"nearest_{other_key}"), F.col("__best.__d").alias("DistanceKm"))

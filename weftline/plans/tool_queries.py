@@ -543,6 +543,29 @@ def find_nearest(s: SparkSession, d: str) -> DataFrame:
     return _r(out.drop("p"), "DistanceKm")
 
 
+# both sides around the date line, at no common place
+_APART = {"supplier": ("s_suppkey", "({k} * 37 % 4000) / 100.0 + 160", "({k} * 53 % 1600) / 10.0 - 80"), "customer": ("c_custkey", "({k} * 71 % 4000) / 100.0 + 160.005", "({k} * 29 % 1600) / 10.0 - 79.97")}
+
+
+def _apart_sql(name: str) -> str:
+    k, x, y = _APART[name]
+    return f"(select {k}, case when x >= 180 then x - 360 else x end as x, y from (select {k}, {x.format(k=k)} as x, {y.format(k=k)} as y from {name}))"
+
+
+def _apart(s: SparkSession, d: str, name: str) -> DataFrame:
+    k, x, y = _APART[name]
+    df = T(s, d, name).select(k, F.expr(x.format(k=k)).cast("double").alias("x"), F.expr(y.format(k=k)).cast("double").alias("y"))
+    return spatial.create_points(df.withColumn("x", F.expr("case when x >= 180 then x - 360 else x end")), "x", "y", "p").select(k, "p")
+
+
+@query(f"""with a as {_apart_sql("supplier")}, b as {_apart_sql("customer")}, d as (select s_suppkey, c_custkey, {_HAVERSINE} as km from a, b)
+select s_suppkey, arg_min(c_custkey, (km, c_custkey)) as nearest_c_custkey, round(min(km), 4) as "DistanceKm" from d where km <= 200 group by 1""")
+def find_nearest_apart(s: SparkSession, d: str) -> DataFrame:
+    """Points that don't coincide, on both sides of the date line."""
+    out = spatial.find_nearest(_apart(s, d, "supplier"), _apart(s, d, "customer"), "s_suppkey", "p", "c_custkey", "p", 200)["Matched"]
+    return _r(out.drop("p"), "DistanceKm")
+
+
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
