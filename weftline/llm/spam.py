@@ -4,7 +4,8 @@ Two passes over the corpus. The first counts in how many documents every word an
 words occurs, in hashed count tables of fixed size that every task fills densely and that are added up block by
 block. The second cuts each text into blocks of like lines. Blocks of plain words with hardly any function words
 are judged by the corpus counts: word salad is what has a low mean pointwise mutual information of neighbouring
-words, stuffing what repeats its collocations far more than text does. Links and tags are recognised by form, and
+words, stuffing what repeats its collocations, in windows of fixed length, far more than text does. Links, tags and long lists of
+short items are recognised by form, and
 so are logs, field tables, configurations and expressions, which are none of these. A document's share is the part
 of its characters in flagged blocks.
 
@@ -59,6 +60,7 @@ _TAG = re.compile(r"#\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RECORD = re.compile(r"\d{4}-\d\d-\d\d[ T]|\||<[A-Za-z/!?]|```")
 _OPERATOR = re.compile(r"[\[\]=<>(){}]|\bIF\b|\bTHEN\b|\bELSE\b")
+_SEPARATOR = re.compile("[,;|•·、，]\\s*(?=\\S)")
 _KANA = re.compile(f"[{chr(0x3041)}-{chr(0x3096)}]")
 
 
@@ -187,8 +189,16 @@ class Limits:
     function_words: float = 0.08
     #: Fewer words than this are no block.
     block_words: int = 12
-    #: Stuffing: at most this share of different words in a block.
-    different: float = 0.72
+    #: Stuffing: at most this share of different pairs of neighbours. It and the shares of different words are means over windows
+    #: of so many words, so that they don't fall with a block's length.
+    pair_window: int = 60
+    different_pairs: float = 0.945
+    #: The same in blocks of fewer words than this, where one pair weighs more.
+    short_words: int = 36
+    short_different_pairs: float = 0.85
+    #: Lists by form: at least so many items between separators, of so many words each on average, repeated or not.
+    items: int = 20
+    item_words: tuple[float, float] = (1.5, 4.0)
     #: Stuffing in spite of some function words: at least so many words, at most these shares.
     long_words: int = 25
     long_different: float = 0.36
@@ -206,8 +216,22 @@ class Limits:
 LINK, TAG, RECORD, SENTENCE, WORDS = "link", "tag", "record", "sentence", "words"
 
 
+def variety(words: list[str], window: int) -> tuple[float, float]:
+    """Shares of different words and of different pairs of neighbours, means over windows of fixed length; a last window under
+    half of it doesn't count."""
+    single, double = [], []
+    for at in range(0, len(words), window):
+        part = words[at : at + window]
+        if at and len(part) < window // 2:
+            break
+        single.append(len(set(part)) / len(part))
+        pairs = list(zip(part, part[1:], strict=False))
+        double.append(len(set(pairs)) / len(pairs) if pairs else 1.0)
+    return sum(single) / len(single), sum(double) / len(double)
+
+
 def units(text: str, limits: Limits) -> Iterator[tuple[str, int, int, list[str]]]:
-    """(form, characters, function words or links or tags, words) of every line or window of a plain text."""
+    """(form, characters, function words or links or tags, words, items between separators) of every line or window of a plain text."""
     for line in _LINE.findall(text):
         s = line.strip()
         if not s:
@@ -215,33 +239,36 @@ def units(text: str, limits: Limits) -> Iterator[tuple[str, int, int, list[str]]
         if "://" in s or "www." in s or "WWW." in s:
             links = _LINK.findall(s)
             if links and sum(map(len, _LETTERS.findall(_LINK.sub(" ", s)))) <= 0.3 * len(s):
-                yield LINK, len(s), len(links), []
+                yield LINK, len(s), len(links), [], 0
                 continue
         if "#" in s:
             tags = _TAG.findall(s)
             if sum(map(len, tags)) >= 0.6 * len(s) and tags:
-                yield TAG, len(s), len(tags), []
+                yield TAG, len(s), len(tags), [], 0
                 continue
         if _RECORD.match(s):
-            yield RECORD, len(s), 0, []
+            yield RECORD, len(s), 0, [], 0
             continue
         words = tokens(s)
         operators = len(_OPERATOR.findall(s))
         if operators >= 2 and operators >= 0.2 * len(words):
-            yield RECORD, len(s), 0, []
+            yield RECORD, len(s), 0, [], 0
             continue
         if not s.isascii() and len(_KANA.findall(s)) >= max(2, 0.1 * len(s)):
-            yield SENTENCE, len(s), 0, []
+            yield SENTENCE, len(s), 0, [], 0
             continue
         n = len(words)
+        parts = len(_SEPARATOR.findall(s)) + 1
+        # a comma or two make no list; short lines are items of one
+        parts = parts if parts > 2 else 1 if parts == 1 and n <= limits.item_words[1] and s[-1] not in ".:!?" else 0
         if n <= limits.window * 4 // 3:
-            yield WORDS, len(s), sum(map(FUNCTION_WORDS.__contains__, words)), words
+            yield WORDS, len(s), sum(map(FUNCTION_WORDS.__contains__, words)), words, parts
             continue
         done = 0
         for at in range(0, n, limits.window):
             part = words[at : at + limits.window]
             upto = len(s) * min(at + limits.window, n) // n
-            yield WORDS, upto - done, sum(map(FUNCTION_WORDS.__contains__, part)), part
+            yield WORDS, upto - done, sum(map(FUNCTION_WORDS.__contains__, part)), part, parts * (at + len(part)) // n - parts * at // n
             done = upto
 
 
@@ -250,38 +277,41 @@ def spam_share(text: str | None, counts: Counts, hashes: Hashes, limits: Limits)
     total = spam = links = tags = link_chars = tag_chars = 0
     judged: list[tuple[float, int]] = []
     block: list[str] = []
-    chars = function = 0
+    chars = function = items = listed = 0
     low: bool | None = None
 
     def close() -> int:
         n = len(block)
         if n < limits.block_words:
             return 0
-        different = len(set(block)) / n
+        different, pairs = variety(block, limits.pair_window)
         stuffed = n >= limits.long_words and different < limits.long_different and function <= limits.long_function_words * n
         if not low and not stuffed:
             return 0
         pmi = counts.mean_pmi(block, hashes)
         judged.append((pmi, n))
         if low and function <= limits.function_words * n:
-            stuffed |= different <= limits.different
+            stuffed |= pairs <= (limits.different_pairs if n >= limits.short_words else limits.short_different_pairs)
+            stuffed |= items >= limits.items and limits.item_words[0] * items <= listed <= limits.item_words[1] * items
             stuffed |= n >= limits.salad_words and pmi <= limits.salad_pmi
         return chars if stuffed else 0
 
-    for form, size, extra, words in units(plain(text), limits) if text else ():
+    for form, size, extra, words, parts in units(plain(text), limits) if text else ():
         total += size
+        if form in (LINK, TAG, RECORD):  # a run goes on behind them
+            links, link_chars = (links + extra, link_chars + size) if form == LINK else (links, link_chars)
+            tags, tag_chars = (tags + extra, tag_chars + size) if form == TAG else (tags, tag_chars)
+            continue
         here = extra <= limits.function_words * len(words) if form == WORDS else None
         if here != low or here is None:
             spam += close()
-            block, chars, function, low = [], 0, 0, here
+            block, chars, function, items, listed, low = [], 0, 0, 0, 0, here
         if form == WORDS:
             block.extend(words)
             chars += size
             function += extra
-        elif form == LINK:
-            links, link_chars = links + extra, link_chars + size
-        elif form == TAG:
-            tags, tag_chars = tags + extra, tag_chars + size
+            items += parts
+            listed += len(words) if parts else 0
     spam += close()
     spam += (link_chars if links >= limits.links else 0) + (tag_chars if tags >= limits.tags else 0)
     weight = sum(n for _, n in judged)
