@@ -4,13 +4,14 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm.leaks import Index, find_leaks, myers, words
-from weftline.llm.spam import Counts, Hashes, Limits, corpus_counts, find_spam, score_pages, spam_share, tokens
+from weftline.llm.spam import Counts, Hashes, Limits, corpus_counts, find_spam, pair_keys, score_pages, spam_share, tokens
 from weftline.llm.tokens import CHUNK, RUN, Tokenizer, decode_ids, default_ranks, encode_texts
 
 
@@ -165,42 +166,70 @@ def test_text_is_none(kind):
     assert spam_share(HAM[kind], Counts(), Hashes(), Limits())[0] <= 0.5
 
 
+STUFFED = ["cheap csv repair online csv repair best csv repair free csv repair now"] * 6
+
+
+@pytest.mark.parametrize("before", ["", "| ", "2024-01-01 ", "> ", "* ", "<b>"])
+def test_what_stands_before_a_line_changes_nothing(before):
+    assert spam_share("\n".join(before + x for x in STUFFED), Counts(), Hashes(), Limits())[0] > 0.99
+
+
+def test_function_words_between_keywords_change_nothing():
+    text = " ".join(f"the {w}" for w in " ".join(STUFFED).split())
+    assert spam_share(text, Counts(), Hashes(), Limits())[0] > 0.99
+    assert spam_share("cheap repair of files best tool for free download online now. " * 12, Counts(), Hashes(), Limits())[0] > 0.9
+
+
+def test_sentences_of_a_language_the_corpus_lacks(spark):
+    dutch = "De vergadering van morgen gaat niet door, omdat het gebouw wordt schoongemaakt. Wie nog iets wil bespreken heeft tot vrijdag de tijd om het aan de leiding te sturen."
+    counts = corpus_counts(spark.createDataFrame([(f"{TEXT} {i % 7} {i}",) for i in range(50)], "text string"), "text")
+    for known in (Counts(), counts):
+        assert spam_share(dutch, known, Hashes(), Limits())[0] == 0.0
+    japanese = "データの一覧を確認してから、毎週の報告書を作成してください。古いファイルは来月まで残しておく必要がありますので、削除しないでください。"
+    assert spam_share(japanese, Counts(), Hashes(), Limits())[0] == 0.0
+    assert spam_share("無料 変換 ツール 比較 無料 変換 ランキング " * 6, Counts(), Hashes(), Limits())[0] > 0.9
+
+
 def test_counts_against_brute_force(spark):
     rng = random.Random(4)
-    texts = [None, "", *["\n".join(" ".join(rng.choice(["a", "B", "c", "d1", "7", "größe"]) for _ in range(rng.randrange(8))) for _ in range(3)) for _ in range(300)]]
+    texts = [None, "", *["\n".join(" ".join(rng.choice(["a", "B", "c", "d", "7", "größe"]) for _ in range(rng.randrange(8))) for _ in range(3)) for _ in range(300)]]
     counts = corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text")
     h = Hashes()
-    lines = [[tokens(x) for x in t.split("\n")] for t in texts if t]
-    assert counts.docs == len(lines)
+    docs = [tokens(t.replace("\n", " ")) for t in texts if t]
     for w in ("a", "b", "7", "größe"):
-        assert counts.words[_slot(h, [w])[0][0]] == sum(any(w in x for x in doc) for doc in lines)
+        assert counts.look_up(counts.words, np.array([h[w]], np.uint64))[0] == sum(w in x for x in docs)
     for pair in (("a", "b"), ("c", "a"), ("7", "7")):
-        assert counts.pairs[_slot(h, pair)[1][0]] == sum(any(pair in zip(x, x[1:], strict=False) for x in doc) for doc in lines)
-
-
-def _slot(hashes, ws):
-    import numpy as np
-
-    from weftline.llm.spam import slots
+        key = pair_keys(np.array([h[w] for w in pair], np.uint64))
+        assert counts.look_up(counts.pairs, key)[0] == sum(pair in zip(x, x[1:], strict=False) for x in docs)
+    assert counts.all_words == sum(len(set(x)) for x in docs) and counts.all_pairs == sum(len(set(zip(x, x[1:], strict=False))) for x in docs)
 
-    return slots(np.array([hashes[w] for w in ws], np.uint64))
 
+def _corpus(rng):
+    """Sentences of fixed phrases, all words about equally frequent."""
+    phrases = [[f"w{a}x{k}" for k in "abcdef"] for a in "qrstuvwxyz"]
+    return [" ".join(w for _ in range(8) for w in rng.choice(phrases)) for _ in range(400)], [w for p in phrases for w in p]
 
-def test_salad_is_told_by_the_corpus():
-    """Words that all occur often but never side by side have a low mean PMI."""
-    import numpy as np
 
+def test_salad_is_told_by_the_corpus(spark):
+    """Words that all occur often but never side by side have a low mean; other copies of a text are no evidence for it."""
+    rng = random.Random(8)
+    texts, words_ = _corpus(rng)
+    salad = " ".join(rng.sample(words_, 60))
+    counts = corpus_counts(spark.createDataFrame([(t,) for t in texts + [salad] * 150], "text string").repartition(3), "text")
     h = Hashes()
-    c = Counts(1000)
-    salad = [f"w{i}" for i in range(80)]
-    w, p = _slot(h, salad)
-    c.words[w] = 200
-    c.pairs[p] = 2
-    assert c.mean_pmi(salad, h) < -2
-    assert spam_share(" ".join(salad), c, h, Limits())[0] == 1.0
-    c.pairs[p] = 150
-    assert c.mean_pmi(salad, h) > 1 and spam_share(" ".join(salad), c, h, Limits())[0] == 0.0
-    assert np.isfinite(Counts().mean_pmi(salad, h))
+    share, mean = spam_share(salad, counts, h, Limits())
+    assert share > 0.99 and mean < 0.3 * counts.mean
+    share, mean = spam_share(texts[0], counts, h, Limits())
+    assert share == 0.0 and mean > 0.7 * counts.mean
+    # without the corpus there is nothing to tell it by
+    assert spam_share(salad, Counts(), h, Limits())[0] == 0.0
+
+
+def test_what_is_sent_has_a_bound(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmno", k=3)) for _ in range(60)) for _ in range(300)]
+    counts = corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text", floor=1e-3)
+    assert len(counts.words[0]) <= 1000 and len(counts.pairs[0]) <= 1000 and counts.all_pairs > 15_000
 
 
 def test_spam_rows(spark):

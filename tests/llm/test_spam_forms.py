@@ -5,15 +5,9 @@ import random
 from weftline.llm.spam import Counts, Hashes, Limits, spam_share
 
 
-class Neutral(Counts):
-    """Leaves the mutual information out."""
-
-    def mean_pmi(self, words, hashes):
-        return 0.0
-
-
 def share(text):
-    return spam_share(text, Neutral(), Hashes(), Limits())[0]
+    """Without a corpus, so without mutual information."""
+    return spam_share(text, Counts(), Hashes(), Limits())[0]
 
 
 PHRASES = [f"{a} {b}" for a, b in zip("rain wool oak iron salt corn flax jade clay mint pine reed sand teal rust lime moss silk tar wax zinc plum kelp hemp dusk".split(), "coat sock desk gate mill cake seed ring pot tea cone mat box paint bolt juice bed scarf pan seal bar jam soup rope lamp".split(), strict=True)]

@@ -1,16 +1,18 @@
 """Keyword-stuffed pages, search-phrase lists, link lists and tag lists.
 
-Two passes over the corpus. The first counts in how many documents every word and every pair of neighbouring
-words occurs, in hashed count tables of fixed size that every task fills densely and that are added up block by
-block. The second cuts each text into blocks of like lines. Blocks of plain words with hardly any function words
-are judged by the corpus counts: word salad is what has a low mean pointwise mutual information of neighbouring
-words, stuffing what repeats its collocations, in windows of fixed length, far more than text does. Links, tags and long lists of
-short items are recognised by form, and
-so are logs, field tables, configurations and expressions, which are none of these. A document's share is the part
-of its characters in flagged blocks.
-
-Scale: the counts cost one shuffle of at most ``2 ** WORD_BITS + 2 ** PAIR_BITS`` counters per task; what the
-workers get of them has that fixed size (20 MB), whatever the corpus. Texts are never shuffled.
+Two passes over the corpus. The first counts in how many texts every word and every pair of neighbouring words occurs:
+the tasks emit combined counters and a JVM aggregate with map-side combine adds them up exactly. The second measures
+every text around each of its words: the mean pointwise mutual information of the neighbouring words there, and the
+share of collocations that are repeated nearby. Words that do not go together are word salad. Collocations that come
+again and again are stuffing, unless they are as coherent as ordinary sentences of the corpus: the more they repeat, the
+more coherent they must be. Coherence is relative to the mean over the corpus, so that the limits do not depend on its
+size. Lists of links, tags and short items are recognised by form, as are logs, field tables, configurations and expressions,
+which are none of these. A text's share is the part of its characters in what is flagged.
+
+Scale: the counters are spilled and shuffled by the JVM, one row per different word or pair and task. The workers get the
+words and pairs that make up at least ``FLOOR`` of all: 1 / FLOOR of each kind at most, whatever the corpus. A rarer pair
+counts as not occurring, which moves its value by log 2 at most, as the floor is also what counts are smoothed by.
+Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -28,40 +30,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.text import compatible
-from weftline.session import ship
-
-WORD_BITS, PAIR_BITS = 20, 22
-#: Counters of a block that is shuffled.
-BLOCK = 1 << 14
-#: Documents counted at once.
-DOCS = 1_000
-
-# Function words of English, German, Spanish and French.
-FUNCTION_WORDS = frozenset(
-    """the a an of is are was were be been by and or but not no nor that this these those which it its they we i he she as at from into
-    with who whose what how why when where while if so than then still once only each every both such has have had do does did will
-    would should cannot can could may might must our their his her my your us there all any some none nobody nothing anything
-    whatever because after before until since without between about across per despite except though although unless
-    der die das den dem des ein eine einen einem einer und oder aber ist sind war nicht noch nur mit auf von aus bei wird werden als
-    auch sich was wenn nach seit ohne durch wegen um im am vom zu zum zur kein keine wozu mehr zwei
-    el la los las un una unos y o que se es está son al su sus lo como más pero si cuando desde hasta sin con por según ya entre
-    porque esta este todavía aún dos del le
-    les une et ou ce cette ces il elle qui que ne pas est sont du au aux à dans pour sur avec sans selon depuis encore entre deux leur
-    son sa ses l d n s c qu où""".split()
-)
+from weftline.session import cut, ship
+
+#: Words and pairs below this share of all are not sent to the workers.
+FLOOR = 5e-7
+#: Documents measured at once.
+DOCS = 500
+#: Counters a task holds before it sends them on.
+HELD = 1 << 20
+WORD, PAIR, TEXT = 0, 1, 2
+
 # Cyrillic letters that look like Latin ones, and those.
 _CYRILLIC, _LATIN = "аеорсхуіјԁһкмтвнАЕОРСХУІЈКМТВН", "aeopcxyijdhkmtbhAEOPCXYIJKMTBH"
 _LOOKALIKES, _OTHER_SCRIPT = str.maketrans(_CYRILLIC, _LATIN), frozenset(_CYRILLIC)
 
 _LINE = re.compile(r"[^\r\n]+")
-_WORD = re.compile(r"[^\W_]+")
+# scripts without spaces are divided where the script changes
+_HIRAGANA, _KATAKANA, _HAN = "ぁ-ゟ", "゠-ヿ", "㐀-鿿"
+_WORD = re.compile(f"[{_HIRAGANA}]+|[{_KATAKANA}]+|[{_HAN}]+|[^\\W_{_HIRAGANA}{_KATAKANA}{_HAN}]+")
+_ASCII_WORD = re.compile("[a-z0-9]+")
+_DIGIT = re.compile(r"\d")
 _LINK = re.compile(r"<a\s[^>]*>.*?</a\s*>|!?\[[^\]\n]*\]\(\s*(?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>\"|,;]+", re.I)
 _TAG = re.compile(r"#\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_RECORD = re.compile(r"\d{4}-\d\d-\d\d[ T]|\||<[A-Za-z/!?]|```")
+_DATED = re.compile(r"\d{4}-\d\d-\d\d[ T]")
+# The usual levels of log entries.
+_LOGGED = re.compile(r"\b(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL)\b|\w=\S")
+_RULE = re.compile(r"\|?(?:\s*:?-{3,}:?\s*\|)+(?:\s*:?-{3,}:?\s*)?$")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>")
 _OPERATOR = re.compile(r"[\[\]=<>(){}]|\bIF\b|\bTHEN\b|\bELSE\b")
 _SEPARATOR = re.compile("[,;|•·、，]\\s*(?=\\S)")
-_KANA = re.compile(f"[{chr(0x3041)}-{chr(0x3096)}]")
 
 
 def plain(text: str) -> str:
@@ -72,266 +70,359 @@ def plain(text: str) -> str:
 
 def tokens(line: str) -> list[str]:
     """Lower-case words."""
-    return _WORD.findall(line.lower())
+    return (_ASCII_WORD if line.isascii() else _WORD).findall(line.lower())
 
 
 class Hashes(dict):
-    """Stable 64-bit hashes of words; all numbers have one."""
+    """Stable 32-bit hashes of words, never 0; numbers and codes of digits for the most part have one. So few words share a hash with a frequent one that
+    they don't matter, and the key of a pair holds both."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        raw = b"0" if word.isdigit() else word.encode("utf-8", "replace")
-        made = self[word] = zlib.crc32(raw) | zlib.crc32(raw, 0x9E3779B9) << 32
+        made = self[word] = NUMBER if 2 * len(_DIGIT.findall(word)) >= len(word) else zlib.crc32(word.encode("utf-8", "replace")) or 1
         return made
 
 
-def slots(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the word table, and in the pair table of each word with the next."""
-    mixed = hashed * np.uint64(0x9E3779B97F4A7C15)
-    pairs = (mixed[:-1] ^ (hashed[1:] + np.uint64(0x7F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+NUMBER = zlib.crc32(b"0")
 
 
-# --- counts -----------------------------------------------------------------------------------------
+def pair_keys(hashed: np.ndarray) -> np.ndarray:
+    """A key of every word and the next."""
+    return hashed[:-1] << np.uint64(32) | hashed[1:]
 
-_COUNTS = pa.schema([("kind", pa.string()), ("block", pa.int32()), ("counts", pa.binary()), ("docs", pa.int64())])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, pairs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
-    docs = 0
-    hashes = Hashes()
-    for batch in batches:
-        for at in range(0, len(batch), DOCS):
-            hashed: list[int] = []
-            ends: list[int] = []
-            for text in batch.column(0).slice(at, DOCS).to_pylist():
-                if not text:
-                    continue
-                for line in _LINE.findall(plain(text)):
-                    hashed.extend(map(hashes.__getitem__, tokens(line)))
-                    hashed.append(0)  # pairs don't reach over lines
-                ends.append(len(hashed))
-            docs += len(ends)
-            if not hashed:
-                continue
-            stream = np.array(hashed, np.uint64)
-            doc = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
-            w, p = slots(stream)
-            real = stream != 0
-            both = real[:-1] & real[1:]
-            for table, bits, place, owner in ((words, WORD_BITS, w[real], doc[real]), (pairs, PAIR_BITS, p[both], doc[:-1][both])):
-                once = np.unique((owner << bits) | place) & ((1 << bits) - 1)
-                np.add.at(table, once, 1)
-    rows: list[tuple] = [("docs", 0, b"", docs)]
-    for kind, table in (("word", words), ("pair", pairs)):
-        for block in range(len(table) // BLOCK):
-            part = table[block * BLOCK : (block + 1) * BLOCK]
-            used = np.flatnonzero(part)
-            if len(used):
-                rows.append((kind, block, np.stack([used, part[used]]).astype(np.int64).tobytes(), 0))
-    for at in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64], strict=True), _COUNTS, strict=True)], schema=_COUNTS)
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
-    for raw in table.column("counts").to_pylist():
-        used, counts = np.frombuffer(raw, np.int64).reshape(2, -1)
-        total[used] += counts
-    docs = sum(table.column("docs").to_pylist())
-    first = table.slice(0, 1)
-    counts = total.clip(max=2**31 - 1).astype(np.int32).tobytes() if first.column("kind")[0].as_py() != "docs" else b""
-    return pa.table([first.column("kind"), first.column("block"), pa.array([counts], pa.binary()), pa.array([docs], pa.int64())], schema=_COUNTS)
 
-
-@dataclass
-class Counts:
-    """Documents in all, with each word and with each pair of neighbouring words."""
-
-    docs: int = 0
-    words: np.ndarray = field(default_factory=lambda: np.zeros(1 << WORD_BITS, np.int32))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(1 << PAIR_BITS, np.int32))
-
-    def mean_pmi(self, words: list[str], hashes: Hashes) -> float:
-        """Of the pairs of neighbours, the document itself left out of the pairs' counts; -8 for a pair no other has."""
-        if len(words) < 2:
-            return 0.0
-        w, p = slots(np.array([hashes[x] for x in words], np.uint64))
-        alone = np.maximum(self.words[w], 1).astype(np.float64)
-        both = (self.pairs[p] - 1).astype(np.float64)
-        value = np.log(np.maximum(both, 1e-9) * max(self.docs, 1) / (alone[:-1] * alone[1:]))
-        return float(np.where(both > 0, value, -8.0).clip(-8, 8).mean())
-
-
-def corpus_counts(docs: DataFrame, text: str) -> Counts:
-    """Word and pair counts of all texts, of fixed size."""
-    schema = "kind string, block int, counts binary, docs bigint"
-    ship(docs.sparkSession)
-    parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_count, schema)
-    summed = parts.groupBy("kind", "block").applyInArrow(_add, schema)
-    out = Counts()
-    for kind, block, counts, n in summed.collect():  # of fixed size
-        if kind == "docs":
-            out.docs = n
-        else:
-            (out.words if kind == "word" else out.pairs)[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts, np.int32)
-    return out
+def text_key(text: str) -> int:
+    raw = text.encode("utf-8", "replace")
+    return zlib.crc32(raw) | zlib.crc32(raw, 0x9E3779B9) << 32
 
 
-# --- judgement --------------------------------------------------------------------------------------
+# --- forms ------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Limits:
-    #: A unit with at most this share of function words may be keywords.
-    function_words: float = 0.08
-    #: Fewer words than this are no block.
-    block_words: int = 12
-    #: Stuffing: at most this share of different pairs of neighbours. It and the shares of different words are means over windows
-    #: of so many words, so that they don't fall with a block's length.
-    pair_window: int = 60
-    different_pairs: float = 0.945
-    #: The same in blocks of fewer words than this, where one pair weighs more.
-    short_words: int = 36
-    short_different_pairs: float = 0.85
-    #: Lists by form: at least so many items between separators, of so many words each on average, repeated or not.
-    items: int = 20
+    #: Fewer words than this in a text are not judged.
+    least_words: int = 12
+    #: Words around a word that are measured with it.
+    window: int = 40
+    #: A collocation is repeated if it comes again within so many words.
+    near: int = 60
+    #: So many pairs in a row that come again in the same order are a passage and no stuffing, but for a short one in many tellings.
+    passage: int = 8
+    short_passage: int = 16
+    tellings: int = 4
+    #: Flagged: a coherence, relative to the corpus, of at most ``salad + per_repeat`` times the share of repeated collocations.
+    salad: float = 0.45
+    per_repeat: float = 0.8
+    #: Pairs with evidence that a window needs, as a share of its pairs; else repetition alone decides, from this share on.
+    evidence: float = 0.3
+    repeats_alone: float = 0.6
+    #: Lists by form: at least so many items, of so many words each on average, at most so coherent.
+    items: int = 15
     item_words: tuple[float, float] = (1.5, 4.0)
-    #: Stuffing in spite of some function words: at least so many words, at most these shares.
-    long_words: int = 25
-    long_different: float = 0.36
-    long_function_words: float = 0.2
-    #: Word salad: at least so many words, at most this mean PMI.
-    salad_words: int = 60
-    salad_pmi: float = -1.0
+    item_coherence: float = 0.9
     #: Fewer links or tags than this are no list.
     links: int = 3
     tags: int = 8
-    #: Long lines are divided into windows of so many words.
-    window: int = 30
-
-
-LINK, TAG, RECORD, SENTENCE, WORDS = "link", "tag", "record", "sentence", "words"
-
 
-def variety(words: list[str], window: int) -> tuple[float, float]:
-    """Shares of different words and of different pairs of neighbours, means over windows of fixed length; a last window under
-    half of it doesn't count."""
-    single, double = [], []
-    for at in range(0, len(words), window):
-        part = words[at : at + window]
-        if at and len(part) < window // 2:
-            break
-        single.append(len(set(part)) / len(part))
-        pairs = list(zip(part, part[1:], strict=False))
-        double.append(len(set(pairs)) / len(pairs) if pairs else 1.0)
-    return sum(single) / len(single), sum(double) / len(double)
 
-
-def units(text: str, limits: Limits) -> Iterator[tuple[str, int, int, list[str]]]:
-    """(form, characters, function words or links or tags, words, items between separators) of every line or window of a plain text."""
-    for line in _LINE.findall(text):
-        s = line.strip()
-        if not s:
-            continue
+@dataclass
+class Page:
+    """A text by form: its words with their line's size, and what needs no judgement."""
+
+    words: list[str] = field(default_factory=list)
+    #: (words, characters) of every line of words.
+    lines: list[tuple[int, int]] = field(default_factory=list)
+    #: (first word, word behind, items) of runs of short items.
+    lists: list[tuple[int, int, int]] = field(default_factory=list)
+    total: int = 0
+    links: int = 0
+    link_chars: int = 0
+    tags: int = 0
+    tag_chars: int = 0
+
+
+def page(text: str | None, limits: Limits) -> Page:
+    """Lines of links, of tags, of records and of words."""
+    out = Page()
+    if not text:
+        return out
+    lines = [s for s in map(str.strip, _LINE.findall(plain(text))) if s]
+    first = items = listed = 0
+    table = False
+    for i, s in enumerate(lines):
+        out.total += len(s)
         if "://" in s or "www." in s or "WWW." in s:
             links = _LINK.findall(s)
             if links and sum(map(len, _LETTERS.findall(_LINK.sub(" ", s)))) <= 0.3 * len(s):
-                yield LINK, len(s), len(links), [], 0
+                out.links, out.link_chars = out.links + len(links), out.link_chars + len(s)
                 continue
         if "#" in s:
             tags = _TAG.findall(s)
-            if sum(map(len, tags)) >= 0.6 * len(s) and tags:
-                yield TAG, len(s), len(tags), [], 0
+            if tags and sum(map(len, tags)) >= 0.6 * len(s):
+                out.tags, out.tag_chars = out.tags + len(tags), out.tag_chars + len(s)
                 continue
-        if _RECORD.match(s):
-            yield RECORD, len(s), 0, [], 0
+        # rows of a table with a rule under its head
+        bar = s[0] == "|" and s[-1] == "|"
+        table = bar and (table or (i + 1 < len(lines) and _RULE.match(lines[i + 1]) is not None))
+        if table or (_DATED.match(s) and _LOGGED.search(s)):
             continue
-        words = tokens(s)
-        operators = len(_OPERATOR.findall(s))
-        if operators >= 2 and operators >= 0.2 * len(words):
-            yield RECORD, len(s), 0, [], 0
-            continue
-        if not s.isascii() and len(_KANA.findall(s)) >= max(2, 0.1 * len(s)):
-            yield SENTENCE, len(s), 0, [], 0
+        judged = s
+        if "<" in s and ">" in s:
+            judged = _MARKUP.sub(" ", s)
+            if len(judged) <= 0.8 * len(s) and not s.lower().startswith(("<p", "<b", "<i", "<li", "<span", "<div", "<h")):
+                continue
+        words = tokens(judged)
+        operators = len(_OPERATOR.findall(judged))
+        if not words or (operators >= 2 and operators >= 0.2 * len(words)):
             continue
-        n = len(words)
-        parts = len(_SEPARATOR.findall(s)) + 1
         # a comma or two make no list; short lines are items of one
-        parts = parts if parts > 2 else 1 if parts == 1 and n <= limits.item_words[1] and s[-1] not in ".:!?" else 0
-        if n <= limits.window * 4 // 3:
-            yield WORDS, len(s), sum(map(FUNCTION_WORDS.__contains__, words)), words, parts
-            continue
-        done = 0
-        for at in range(0, n, limits.window):
-            part = words[at : at + limits.window]
-            upto = len(s) * min(at + limits.window, n) // n
-            yield WORDS, upto - done, sum(map(FUNCTION_WORDS.__contains__, part)), part, parts * (at + len(part)) // n - parts * at // n
-            done = upto
+        n, parts = len(words), len(_SEPARATOR.findall(judged)) + 1
+        parts = parts if parts > 2 and n <= limits.item_words[1] * parts else 1 if parts == 1 and n <= limits.item_words[1] and judged[-1] not in ".:!?" else 0
+        if parts:
+            first = first if items else len(out.words)
+            items, listed = items + parts, listed + n
+        if items and (not parts or i == len(lines) - 1):
+            if items >= limits.items and limits.item_words[0] * items <= listed <= limits.item_words[1] * items:
+                out.lists.append((first, first + listed, items))
+            items = listed = 0
+        out.words += words
+        out.lines.append((n, len(s)))
+    if items >= limits.items and limits.item_words[0] * items <= listed <= limits.item_words[1] * items:
+        out.lists.append((first, first + listed, items))
+    return out
+
+
+@dataclass
+class Stream:
+    """The words of several pages in one array."""
+
+    hashed: np.ndarray
+    owner: np.ndarray
+    starts: np.ndarray
+    pairs: np.ndarray
+    within: np.ndarray
+
+    @classmethod
+    def of(cls, pages: list[Page], hashes: Hashes) -> Stream:
+        hashed = np.array([h for p in pages for h in map(hashes.__getitem__, p.words)], np.uint64)
+        starts = np.cumsum([0, *(len(p.words) for p in pages)])
+        owner = np.repeat(np.arange(len(pages)), np.diff(starts))
+        return cls(hashed, owner, starts, pair_keys(hashed), owner[:-1] == owner[1:])
+
+
+# --- counts -----------------------------------------------------------------------------------------
+
+_COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+
+
+def _summed(kinds: list[np.ndarray], keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kind, key, n = np.concatenate(kinds), np.concatenate(keys), np.concatenate(counts)
+    order = np.lexsort((key, kind))
+    kind, key, n = kind[order], key[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])])) if len(key) else np.zeros(0, np.int64)
+    return kind[new], key[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _once(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The keys of every owner, each once."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    return keys[np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])] if len(keys) else keys
+
+
+def _counter(limits: Limits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        kinds: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kinds[0]), pa.array(keys[0]), pa.array(counts[0])], schema=_COUNTS)
+
+        for arrived in batches:
+            for at in range(0, len(arrived), DOCS):
+                texts = [t for t in arrived.column(0).slice(at, DOCS).to_pylist() if t]
+                s = Stream.of([page(t, limits) for t in texts], hashes)
+                for kind, found in ((WORD, _once(s.owner, s.hashed)), (PAIR, _once(s.owner[:-1][s.within], s.pairs[s.within])), (TEXT, np.array([text_key(t) for t in texts], np.uint64))):
+                    kinds.append(np.full(len(found), kind, np.int8))
+                    keys.append(found.view(np.int64))
+                    counts.append(np.ones(len(found), np.int64))
+                if sum(map(len, keys)) > HELD:
+                    kinds[:], keys[:], counts[:] = ([x] for x in _summed(kinds, keys, counts))
+                    if len(keys[0]) > HELD // 2:
+                        yield batch()
+                        kinds, keys, counts = [], [], []
+        if keys:
+            kinds[:], keys[:], counts[:] = ([x] for x in _summed(kinds, keys, counts))
+            yield batch()
+
+    return run
+
+
+@dataclass
+class Counts:
+    """Texts with each frequent word and pair, and all there are: sorted keys and their counts."""
+
+    words: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    pairs: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    texts: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    all_words: int = 0
+    all_pairs: int = 0
+    floor: float = FLOOR
+    #: Mean over the corpus, nan without evidence.
+    mean: float = math.nan
+
+    @staticmethod
+    def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        known, counts = table
+        if not len(known):
+            return np.zeros(len(keys), np.int64)
+        at = np.searchsorted(known, keys).clip(max=len(known) - 1)
+        return np.where(known[at] == keys, counts[at], 0)
+
+    def mutual(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pointwise mutual information from counts, and whether there is evidence for it: the pair occurs elsewhere, or should."""
+        least = max(self.floor * self.all_pairs, 1.0)
+        expected = a.astype(np.float64) * b * (self.all_pairs / max(self.all_words, 1) ** 2)
+        return np.log((both + least) / (expected + least)), (both > 0) | (expected >= least)
+
+    def corpus_mean(self) -> float:
+        """The mean over all pairs that are found in other texts too."""
+        keys, both = self.pairs
+        a, b = (np.maximum(self.look_up(self.words, k) - 1, 0) for k in (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)))
+        value, sure = self.mutual(both - 1, a, b)
+        weight = np.where(sure, both, 0)
+        return float((value * weight).sum() / weight.sum()) if weight.sum() else math.nan
+
+    def of_stream(self, s: Stream, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of all pairs of a stream. A text is no evidence for itself, nor are its copies."""
+        own = copies[s.owner]
+        alone = np.maximum(self.look_up(self.words, s.hashed) - own, 0)
+        both = np.maximum(self.look_up(self.pairs, s.pairs) - own[:-1], 0)
+        return self.mutual(both, alone[:-1], alone[1:])
+
+
+def corpus_counts(docs: DataFrame, text: str, *, floor: float = FLOOR, limits: Limits | None = None) -> Counts:
+    """Counts of all texts. The frame of all counters is written once, as what is frequent depends on their sum."""
+    ship(docs.sparkSession)
+    limits = limits or Limits()
+    parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counter(limits), "kind tinyint, key bigint, n bigint")
+    counters = cut(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    totals = {r["kind"]: r["n"] for r in counters.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    out = Counts(all_words=totals.get(WORD, 0), all_pairs=totals.get(PAIR, 0), floor=floor)
+    enough = F.when(F.col("kind") == WORD, floor * out.all_words).when(F.col("kind") == PAIR, floor * out.all_pairs).otherwise(F.greatest(F.lit(floor * out.all_pairs), F.lit(2)))
+    # at most 1 / floor words, as many pairs, and fewer texts
+    kept = counters.where(F.col("n") >= enough).toArrow()
+    kind, key, n = (kept.column(c).to_numpy() for c in ("kind", "key", "n"))
+    key = key.view(np.uint64)
+    tables = []
+    for k in (WORD, PAIR, TEXT):
+        mine = np.flatnonzero(kind == k)
+        mine = mine[np.argsort(key[mine])]
+        tables.append((key[mine], n[mine]))
+    out.words, out.pairs, out.texts = tables
+    out.mean = out.corpus_mean()
+    return out
+
+
+# --- judgement --------------------------------------------------------------------------------------
+
+
+def repeats(s: Stream, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each pair comes again nearby in its text, and whether it came before. Two numbers are no collocation, and a
+    whole passage that is told again is none either."""
+    number = np.uint64(NUMBER)
+    at = np.flatnonzero(s.within & ~((s.hashed[:-1] == number) & (s.hashed[1:] == number)))
+    again, before = np.zeros(len(s.pairs), bool), np.zeros(len(s.pairs), bool)
+    if not len(at):
+        return again, before
+    order = at[np.lexsort((at, s.pairs[at], s.owner[at]))]
+    one, two = order[:-1], order[1:]
+    alike = (s.pairs[one] == s.pairs[two]) & (s.owner[one] == s.owner[two])
+    group = np.concatenate([[0], np.cumsum(~alike)])
+    often = np.bincount(group)[group][1:] > limits.tellings
+    # passages: neighbouring pairs that were last seen equally far back
+    back = np.zeros(len(s.pairs) + 1, np.int64)
+    back[two[alike]] = (two - one)[alike]
+    edges = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
+    passage = np.repeat(np.diff(np.concatenate([edges, [len(back)]])) >= limits.passage, np.diff(np.concatenate([edges, [len(back)]])))
+    same = alike & (two - one <= limits.near)
+    told = passage[two] & (back[two] >= limits.passage) & ~(often & (back[two] < limits.short_passage))
+    before[two[same]] = True
+    again[two[same & ~told]] = again[one[same & ~told]] = True
+    return again, before
+
+
+def spam_shares(texts: list[str | None], counts: Counts, hashes: Hashes, limits: Limits) -> list[tuple[float, float]]:
+    """(share of the characters that are flagged, mean pointwise mutual information of all neighbours with evidence, else nan)."""
+    pages = [page(t, limits) for t in texts]
+    s = Stream.of(pages, hashes)
+    n = len(s.hashed)
+    copies = np.maximum(counts.look_up(counts.texts, np.array([text_key(t or "") for t in texts], np.uint64)), 1)
+    value, sure = counts.of_stream(s, copies) if n else (np.zeros(0), np.zeros(0, bool))
+    again, before = repeats(s, limits)
+    fresh = s.within & ~before
+    sure = sure & fresh
+    upto = lambda x: np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+    values, sures, freshes, agains, pairs = (upto(x) for x in (value * sure, sure, fresh, again, s.within))
+
+    def measured(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Coherence relative to the corpus, share of pairs with evidence, share of repeated ones, pairs; of the words from lo to hi."""
+        hi = np.maximum(hi - 1, lo)
+        within = pairs[hi] - pairs[lo]
+        some = np.maximum(sures[hi] - sures[lo], 1.0)
+        coherent = (values[hi] - values[lo]) / some / (counts.mean if counts.mean > 0 else math.nan)
+        return coherent, (sures[hi] - sures[lo]) / np.maximum(freshes[hi] - freshes[lo], 1.0), (agains[hi] - agains[lo]) / np.maximum(within, 1.0), within
+
+    flagged = np.zeros(n, bool)
+    if n:
+        first, behind = s.starts[:-1][s.owner], s.starts[1:][s.owner]
+        lo = np.maximum(np.minimum(np.arange(n) - limits.window // 2, behind - limits.window), first)
+        coherent, evidence, repeated, within = measured(lo, np.minimum(lo + limits.window, behind))
+        # few words tell little about salad
+        limit = limits.salad * np.minimum(within / (limits.window - 1), 1.0) + limits.per_repeat * repeated
+        known = (evidence >= limits.evidence) & ~np.isnan(coherent)
+        flagged = np.where(known, coherent <= limit, repeated >= limits.repeats_alone) & (behind - first >= limits.least_words)
+    out: list[tuple[float, float]] = []
+    for p, start, end in zip(pages, s.starts[:-1], s.starts[1:], strict=True):
+        spam = (p.link_chars if p.links >= limits.links else 0) + (p.tag_chars if p.tags >= limits.tags else 0)
+        if end > start:
+            marks = flagged[start:end].copy()
+            for a, b, _ in p.lists:
+                coherent, evidence, _, _ = measured(np.array([start + a]), np.array([start + b]))
+                if evidence[0] < limits.evidence or not coherent[0] > limits.item_coherence:
+                    marks[a:b] = True
+            if marks.any():
+                lengths = [k for k, _ in p.lines]
+                spam += float((marks * np.repeat([size / k for k, size in p.lines], lengths)).sum())
+        seen = sures[end - 1] - sures[start] if end > start else 0.0
+        out.append((min(spam / p.total, 1.0) if p.total else 0.0, (values[end - 1] - values[start]) / seen if seen else math.nan))
+    return out
 
 
 def spam_share(text: str | None, counts: Counts, hashes: Hashes, limits: Limits) -> tuple[float, float]:
-    """(share of the characters in flagged blocks, mean PMI of the blocks of words that were judged)."""
-    total = spam = links = tags = link_chars = tag_chars = 0
-    judged: list[tuple[float, int]] = []
-    block: list[str] = []
-    chars = function = items = listed = 0
-    low: bool | None = None
-
-    def close() -> int:
-        n = len(block)
-        if n < limits.block_words:
-            return 0
-        different, pairs = variety(block, limits.pair_window)
-        stuffed = n >= limits.long_words and different < limits.long_different and function <= limits.long_function_words * n
-        if not low and not stuffed:
-            return 0
-        pmi = counts.mean_pmi(block, hashes)
-        judged.append((pmi, n))
-        if low and function <= limits.function_words * n:
-            stuffed |= pairs <= (limits.different_pairs if n >= limits.short_words else limits.short_different_pairs)
-            stuffed |= items >= limits.items and limits.item_words[0] * items <= listed <= limits.item_words[1] * items
-            stuffed |= n >= limits.salad_words and pmi <= limits.salad_pmi
-        return chars if stuffed else 0
-
-    for form, size, extra, words, parts in units(plain(text), limits) if text else ():
-        total += size
-        if form in (LINK, TAG, RECORD):  # a run goes on behind them
-            links, link_chars = (links + extra, link_chars + size) if form == LINK else (links, link_chars)
-            tags, tag_chars = (tags + extra, tag_chars + size) if form == TAG else (tags, tag_chars)
-            continue
-        here = extra <= limits.function_words * len(words) if form == WORDS else None
-        if here != low or here is None:
-            spam += close()
-            block, chars, function, items, listed, low = [], 0, 0, 0, 0, here
-        if form == WORDS:
-            block.extend(words)
-            chars += size
-            function += extra
-            items += parts
-            listed += len(words) if parts else 0
-    spam += close()
-    spam += (link_chars if links >= limits.links else 0) + (tag_chars if tags >= limits.tags else 0)
-    weight = sum(n for _, n in judged)
-    return (spam / total if total else 0.0), (sum(p * n for p, n in judged) / weight if weight else math.nan)
+    return spam_shares([text], counts, hashes, limits)[0]
 
 
 def score_pages(docs: DataFrame, *, doc_id: str, text: str, counts: Counts | None = None, limits: Limits | None = None) -> DataFrame:
-    """(<doc_id>, spam_share, mean_pmi) of every row. Null, empty and blank texts have share 0; mean_pmi is null where
-    no block of words was judged. Repeated rows are scored again."""
+    """(<doc_id>, spam_share, mean_pmi) of every row. Null, empty and blank texts have share 0; mean_pmi is null where no
+    pair of words has evidence. Repeated rows are scored again; copies of a text are no evidence for it."""
     ship(docs.sparkSession)
     limits = limits or Limits()
-    counts = counts if counts is not None else corpus_counts(docs, text)
+    counts = counts if counts is not None else corpus_counts(docs, text, limits=limits)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     out = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("spam_share", T.DoubleType()), T.StructField("mean_pmi", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes = sent.value, Hashes()
         for batch in batches:
-            scores = [spam_share(t, known, hashes, limits) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scores], pa.float64()), pa.array([None if math.isnan(p) else p for _, p in scores], pa.float64())], names=[f.name for f in out])
+            for at in range(0, len(batch), DOCS):
+                part = batch.slice(at, DOCS)
+                scores = spam_shares(part.column(1).to_pylist(), known, hashes, limits)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in scores], pa.float64()), pa.array([None if math.isnan(p) else p for _, p in scores], pa.float64())], names=[f.name for f in out])
 
     return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, out)
 
