@@ -53,7 +53,7 @@ _DIGIT = re.compile(r"\d")
 _LINK = re.compile(r"<a\s[^>]*>.*?</a\s*>|!?\[[^\]\n]*\]\(\s*(?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>\"|,;]+", re.I)
 _TAG = re.compile(r"#\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DATED = re.compile(r"\d{4}-\d\d-\d\d[ T]")
+_STAMP = re.compile(r"[\[(]?\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d(?::\d\d)?(?:[.,]\d+)?Z?)?[\])]?[ \t]")
 # The usual levels of log entries.
 _LOGGED = re.compile(r"\b(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL)\b|\w=\S")
 _RULE = re.compile(r"\|?(?:\s*:?-{3,}:?\s*\|)+(?:\s*:?-{3,}:?\s*)?$")
@@ -166,11 +166,16 @@ def page(text: str | None, limits: Limits) -> Page:
         # rows of a table with a rule under its head
         bar = s[0] == "|" and s[-1] == "|"
         table = bar and (table or (i + 1 < len(lines) and _RULE.match(lines[i + 1]) is not None))
-        if table or (_DATED.match(s) and _LOGGED.search(s)):
+        if table:
             continue
         judged = s
+        if s[0] in "[(0123456789" and (stamp := _STAMP.match(s)) is not None:
+            # an entry of a log: a level, a value by name, or hardly anything behind the time
+            judged = s[stamp.end() :]
+            if _LOGGED.search(judged) or len(tokens(judged)) < 3:
+                continue
         if "<" in s and ">" in s:
-            judged = _MARKUP.sub(" ", s)
+            judged = _MARKUP.sub(" ", judged)
             if len(judged) <= 0.8 * len(s) and not s.lower().startswith(("<p", "<b", "<i", "<li", "<span", "<div", "<h")):
                 continue
         words = tokens(judged)
