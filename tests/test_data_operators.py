@@ -1,6 +1,7 @@
 """Terms, flattening, references, hierarchies and drift against brute force, and their edge cases."""
 
 import json
+import math
 import random
 import re
 import xml.etree.ElementTree as ET
@@ -219,6 +220,35 @@ def test_forest_against_brute_force(spark, fragment):
     assert rows(found) == brute_forest(links)
 
 
+def _chain(n):
+    return [(i, i - 1 if i else None) for i in range(n)]
+
+
+SHAPES = {
+    "chain": _chain,
+    "loop": lambda n: [(i, (i + 1) % n) for i in range(n)],
+    # a spine with a tooth on every node
+    "comb": lambda n: [(i, i - 2 if i > 1 else None) if i % 2 == 0 else (i, i - 1) for i in range(n)],
+    "star of pairs": lambda n: [(0, None), *((i, 0 if i % 2 else i - 1) for i in range(1, n))],
+    "binary": lambda n: [(i, (i - 1) // 2 if i else None) for i in range(n)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_levels_grow_with_the_logarithm(spark, shape):
+    """One scope of 50 fragments, its ids in no order; every level leaves about half of the nodes at most."""
+    fragment, n = 16, 800
+    rng = random.Random(11)
+    name = rng.sample(range(10 * n), n)
+    links = [(7, name[i], None if p is None else name[p]) for i, p in SHAPES[shape](n)]
+    rng.shuffle(links)
+    levels = []
+    found = resolve_forest(spark.createDataFrame(links, "scope bigint, node bigint, parent bigint"), fragment=fragment, levels=levels)
+    assert rows(found) == brute_forest(links)
+    assert levels[0] == n and len(levels) <= math.ceil(math.log2(n / fragment)) + 2, levels
+    assert all(b <= 0.6 * a for a, b in zip(levels, levels[1:])), levels
+
+
 def test_forest_of_nothing_and_descendants(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 2)], "scope bigint, node bigint, parent bigint")
     assert resolve_forest(df.limit(0)).count() == 0

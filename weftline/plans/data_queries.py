@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.drift import drift_of_records
 from weftline.operators.flatten import explode_arrays, flatten_texts
-from weftline.operators.hierarchy import container_links, resolve_forest
+from weftline.operators.hierarchy import FRAGMENT, container_links, resolve_forest
 from weftline.operators.references import Parents, References, find_orphans, orphan_report
 from weftline.operators.terms import count_terms, mark_terms
 from weftline.session import table
@@ -56,8 +56,17 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchies(spark, d, FRAGMENT)
+
+
+def p4_quotients(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows by way of fragments of 4 nodes, so that most hierarchies are contracted, solved as quotients and expanded."""
+    return _hierarchies(spark, d, 4)
+
+
+def _hierarchies(spark: SparkSession, d: str, fragment: int) -> DataFrame:
     links = container_links(table(spark, d, "containers"), scope="workflow_id", key="tool_id", parent="parent_container_id", children="child_tool_ids", seen_at="ingested_at")
-    return resolve_forest(links).select(
+    return resolve_forest(links, fragment=fragment).select(
         F.col("scope").alias("workflow_id"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"),
         F.col("path").alias("node_path"), F.col("state").alias("node_state"), "n_descendants",
     )
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
+    "p4_quotients": p4_quotients,
     "p5_found": p5_found,
 }
 
@@ -150,3 +160,4 @@ union all
 select l.workflow_id, l.node, -1, -1, '', case when c.node is null then 'under_cycle' else 'cycle' end, -1
 from loose l left join looped c on l.workflow_id = c.workflow_id and l.node = c.node""",
 }
+ORACLES["p4_quotients"] = ORACLES["p4_found"]
