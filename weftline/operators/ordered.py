@@ -32,6 +32,41 @@ def sort(df: DataFrame, order: Order) -> DataFrame:
     return df.orderBy(*sort_columns(order)) if order else df
 
 
+# Digits of hexadecimal numbers, and those they are counted down to.
+_UP, _DOWN = "0123456789ABCDEF", "FEDCBA9876543210"
+
+
+def _descending(c: Column, kind: T.DataType) -> Column | None:
+    """A value that sorts upwards as ``c`` sorts downwards; None for types without one."""
+    if isinstance(kind, T.NumericType):
+        # the least integer has no positive counterpart
+        return -c.cast("decimal(20,0)") if isinstance(kind, T.IntegralType) else -c
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, T.TimestampType):
+        return -F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        return -F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # complemented digits, and an end behind all of them: a prefix comes last
+        return F.concat(F.translate(F.hex(c), _UP, _DOWN), F.lit("G"))
+    return None
+
+
+def sort_key(df: DataFrame, order: Order, place: Column | None = None) -> Column | None:
+    """One column that sorts upwards as the rows are ordered, nulls last, rows that are equal by their place: what aggregates
+    can pick and sort by. None if a type cannot be turned round."""
+    parts = []
+    for c, up in order:
+        value = C.name(c) if up else _descending(C.name(c), df.schema[c].dataType)
+        if value is None or isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)):
+            return None
+        parts += [C.name(c).isNull(), value]
+    return F.struct(*[x.alias(f"k{i}") for i, x in enumerate([*parts, *([] if place is None else [place])])])
+
+
 def placed(df: DataFrame, order: Order = ()) -> DataFrame:
     """Add partition and place within it, in the order of the rows over all partitions."""
     if order:
@@ -221,13 +256,11 @@ def sample(df: DataFrame, mode: str = "first", n: int = 100, pct: float | None =
 def unique(df: DataFrame, fields: Sequence[str] = (), order: Order = ()) -> dict[str, DataFrame]:
     """``Unique``: the first row of every key, ``Duplicates``: the others; nulls are equal. No fields: all fields.
 
-    With ascending order the first rows come from an aggregate with map-side combine, whatever one key holds."""
+    The first rows come from an aggregate with map-side combine, whatever one key holds."""
     keys = [C.name(f) for f in (fields or df.columns)]
-    plain = all(up for _, up in order) and all(not isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema)
     rows = placed(df)
-    if plain:
-        # nulls last: a null's flag sorts behind
-        by = F.struct(*[x for c, _ in order for x in (C.name(c).isNull(), C.name(c))], F.col(_PLACE))
+    by = sort_key(rows, order, F.col(_PLACE))
+    if by is not None and all(not isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema):
         first = rows.groupBy(*keys).agg(F.min_by(F.struct(*[C.name(c) for c in df.columns], F.col(_PLACE)), by).alias("__first"))
         unique_rows = first.select("__first.*").drop(_PLACE)
         on = rows[_PLACE] == F.col("__kept")

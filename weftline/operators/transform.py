@@ -25,15 +25,19 @@ class Action:
         return self.rename or (self.field if self.action.lower() == "groupby" else f"{self.action}_{self.field}")
 
 
-def _first_last(c: Column, by: Column | None, last: bool) -> Column:
-    if by is None:
-        return F.last(c, ignorenulls=True) if last else F.first(c, ignorenulls=True)
+def _first_last(c: Column, by: Column, last: bool) -> Column:
     pick = F.max_by if last else F.min_by
     return pick(c, F.when(c.isNotNull(), by))
 
 
+def _joined(c: Column, by: Column, separator: str) -> Column:
+    """All values in the order of the rows, without nulls."""
+    item = F.when(c.isNotNull(), F.struct(by.alias("by"), c.cast("string").alias("text")))
+    return F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"]), separator)
+
+
 # what every action makes of a column and, for First and Last, the rows' order
-_ACTIONS: dict[str, Callable[[Column, Column | None], Column]] = {
+_ACTIONS: dict[str, Callable[[Column, Column], Column]] = {
     "sum": lambda c, by: F.coalesce(F.sum(c), F.lit(0)),
     "count": lambda c, by: F.count(c),
     "countnonnull": lambda c, by: F.count(c),
@@ -49,10 +53,25 @@ _ACTIONS: dict[str, Callable[[Column, Column | None], Column]] = {
     "variance": lambda c, by: F.var_samp(c),
     "median": lambda c, by: F.median(c),
     "mode": lambda c, by: F.mode(c, True),
-    "concat": lambda c, by: F.array_join(F.sort_array(F.collect_list(c.cast("string"))), ","),
+    "concat": lambda c, by: _joined(c, by, ","),
 }
 
 
+#: Actions that depend on the order of the rows.
+_ORDERED = frozenset(("first", "last", "concat"))
+
+
+def _row_order(df: DataFrame, order: O.Order) -> tuple[DataFrame, Column]:
+    """Rows with their place in the source, and the column that orders them by ``order`` and then by that."""
+    order = [(c, up) for c, up in order if c in df.columns]
+    df = df.withColumn("__at", F.monotonically_increasing_id())
+    by = O.sort_key(df, order, F.col("__at"))
+    if by is None:  # a type that cannot be turned round: by numbers of the sorted rows
+        df = O.numbered(df.drop("__at"), "__at", order)
+        by = F.struct(F.col("__at"))
+    return df, by
+
+
 def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows without a null key, told so that the scan can leave them out."""
     return df.where(reduce(Column.__and__, [C.name(k).isNotNull() for k in keys])) if keys else df
@@ -72,7 +91,7 @@ def _passes(actions: Sequence[Action]) -> list[list[tuple[int, Action]]]:
 def summarize(df: DataFrame, actions: Sequence[Action], order: O.Order = (), *, keep_null_keys: bool = False, diagnostics: list | None = None) -> DataFrame:
     """Groups and aggregates in the listed order of fields. Rows with a null key are left out, unless only keys are asked for
     or ``keep_null_keys``; without keys there is one row; without actions the frame as it is. The sum of nothing is 0. First
-    and Last skip nulls and follow ``order``. An unknown action is reported and left out."""
+    and Last skip nulls, they and Concat follow ``order``, nulls last, else the source. An unknown action is reported and left out."""
     say = diagnostics if diagnostics is not None else []
     known = []
     for a in actions:
@@ -88,9 +107,11 @@ def summarize(df: DataFrame, actions: Sequence[Action], order: O.Order = (), *,
         return df
     if not rest:
         return df.select(*[C.name(k.field).alias(k.out) for k in keys]).distinct()
-    by = F.struct(*[C.name(c) for c, _ in order]) if order and all(up for _, up in order) else None
     if keys and not keep_null_keys:
         df = _with_keys(df, [k.field for k in keys])
+    by = F.lit(0)
+    if any(a.action.lower() in _ORDERED for a in rest):
+        df, by = _row_order(df, order)
     by_key = [C.name(k.field).alias(f"__k{i}") for i, k in enumerate(keys)]
     made = None
     for part in _passes(rest):
@@ -138,19 +159,23 @@ def _placed(values: Sequence[str], declared: Sequence[str], header: str, diagnos
     return [*out, *left]
 
 
-def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, method: str = "sum", values: Sequence[str] | None = None, diagnostics: list | None = None, limit: int = 10_000, declared: Sequence[str] = ()) -> DataFrame:
+def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, method: str = "sum", values: Sequence[str] | None = None, diagnostics: list | None = None, limit: int = 10_000, declared: Sequence[str] = (), order: O.Order = ()) -> DataFrame:
     """One field per value of the header, sorted; empty cells are null. Rows with a null group or header are left out. Without
     group fields there is one row, named by the data field. Text is summed and averaged as numbers. Known ``values`` save the
     job that collects them; more than ``limit`` headers are an error. ``declared`` names come first, in their order: a header in the
-    place of its name, as it is or with other characters than letters and digits as underscores, else an empty field."""
+    place of its name, as it is or with other characters than letters and digits as underscores, else an empty field. First, Last and Concat follow ``order``, nulls last, else the source."""
     how = _CROSS.get(method.lower(), "sum")
     c = C.name(data)
     if how in ("sum", "avg") and C.kind_of(df.schema[data].dataType) == C.STR:
         c = c.try_cast("double")
         if diagnostics is not None:
             diagnostics.append(("type_mismatch", f"{data} is text and is summed as numbers"))
-    rows = df.select(*[C.name(g) for g in group], C.name(header).cast("string").alias("__h"), c.alias("__d"))
-    rows = _with_keys(rows, [*group, "__h"])
+    by = F.lit(0)
+    df = _with_keys(df, [*group, header])
+    if how in _ORDERED:
+        df, by = _row_order(df, order)
+    rows = df.select(*[C.name(g) for g in group], C.name(header).cast("string").alias("__h"), c.alias("__d"), by.alias("__by"))
+    by = F.col("__by")
     if values is None:
         values = sorted(r[0] for r in rows.select("__h").distinct().limit(limit + 1).collect())
         if len(values) > limit:
@@ -158,10 +183,9 @@ def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, metho
         if declared:
             values = _placed(values, declared, header, diagnostics if diagnostics is not None else [])
     if how == "concat":
-        agg = F.array_join(F.sort_array(F.collect_list(F.col("__d").cast("string"))), ", ")
-        agg = F.when(F.count("__d") > 0, agg)
+        agg = F.when(F.count("__d") > 0, _joined(F.col("__d"), by, ", "))
     else:
-        agg = {"sum": F.sum("__d"), "avg": F.avg("__d"), "count": F.count("__d"), "countdistinct": F.count_distinct("__d"), "min": F.min("__d"), "max": F.max("__d"), "first": F.first("__d", True), "last": F.last("__d", True)}[how]
+        agg = {"sum": F.sum("__d"), "avg": F.avg("__d"), "count": F.count("__d"), "countdistinct": F.count_distinct("__d"), "min": F.min("__d"), "max": F.max("__d"), "first": _first_last(F.col("__d"), by, False), "last": _first_last(F.col("__d"), by, True)}[how]
         if how == "sum":  # a cell of nulls only sums to 0
             agg = F.coalesce(agg, F.lit(0))
     if not group:

@@ -544,7 +544,7 @@ def _samples(t: Task) -> dict:
 @builds("Sort")
 def _sort(t: Task) -> dict:
     order = [(f, up) for f, up in _order(t.config) if f in _known(t.one, [f], t)]
-    # the order is kept with the stream; the sort itself is left to a later limit or to the sink
+    # the order is kept with the stream too, for tools behind it; a sink that sorts again replaces this sort in the plan
     return {"Output": Stream(ordered.sort(t.one.df, order), order or t.one.order, t.one.origins)}
 
 
@@ -707,7 +707,7 @@ def _cross_tab(t: Task) -> dict:
     group = _known(t.one, _groups(t.config), t)
     # what an earlier run saw: an order of fields, not the list of values
     declared = [f.name for f in t.tool.fields if f.name not in (group or ["index"])]
-    df = transform.cross_tab(t.one.df, group, header, data, method, diagnostics=t.say, declared=declared)
+    df = transform.cross_tab(t.one.df, group, header, data, method, diagnostics=t.say, declared=declared, order=t.one.order)
     return {"Output": Stream(df, (), L.pivoted(df.columns, group, [data, header], t.one.origins))}
 
 

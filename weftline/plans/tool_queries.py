@@ -20,6 +20,9 @@ LINE = [("l_orderkey", True), ("l_linenumber", True), ("l_partkey", True), ("l_s
 LINE_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
@@ -438,11 +441,11 @@ def summarize_distinct(s: SparkSession, d: str) -> DataFrame:
     return transform.summarize(T(s, d, "orders"), [Action("o_orderstatus", "GroupBy"), Action("o_orderpriority", "GroupBy")])
 
 
-@query("select round(sum(o_totalprice), 2) as total, count(o_orderkey)::bigint as n, string_agg(distinct_status, ',' order by distinct_status) as all_status from (select o_totalprice, o_orderkey, case when o_orderkey in (select min(o_orderkey) from orders group by o_orderstatus) then o_orderstatus end as distinct_status from orders)")
+@query("select round(sum(o_totalprice), 2) as total, count(o_orderkey)::bigint as n, string_agg(distinct_status, ',' order by o_orderkey) as all_status from (select o_totalprice, o_orderkey, case when o_orderkey in (select min(o_orderkey) from orders group by o_orderstatus) then o_orderstatus end as distinct_status from orders)")
 def summarize_global(s: SparkSession, d: str) -> DataFrame:
     o = T(s, d, "orders")
     first = o.groupBy("o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey", F.col("o_orderstatus").alias("st"))
-    out = transform.summarize(o.join(first, "o_orderkey", "left"), [Action("o_totalprice", "Sum", "total"), Action("o_orderkey", "Count", "n"), Action("st", "Concat", "all_status")])
+    out = transform.summarize(o.join(first, "o_orderkey", "left"), [Action("o_totalprice", "Sum", "total"), Action("o_orderkey", "Count", "n"), Action("st", "Concat", "all_status")], [("o_orderkey", True)])
     return _r(out, "total", digits=2)
 
 
@@ -456,9 +459,42 @@ def crosstab_sum(s: SparkSession, d: str) -> DataFrame:
     return _r(transform.cross_tab(T(s, d, "lineitem"), ["l_linestatus"], "l_returnflag", "l_quantity"), "A", "N", "R")
 
 
-@query("""select c_nationkey, nullif(count(c_acctbal) filter (where c_mktsegment = 'AUTOMOBILE'), 0)::bigint as AUTOMOBILE, nullif(count(c_acctbal) filter (where c_mktsegment = 'BUILDING'), 0)::bigint as BUILDING from customer where c_mktsegment in ('AUTOMOBILE', 'BUILDING') group by 1""")
+@query("select c_nationkey, " + ", ".join(f"nullif(count(c_acctbal) filter (where c_mktsegment = '{x}'), 0)::bigint as {x}" for x in SEGMENTS) + " from customer group by 1")
 def crosstab_count(s: SparkSession, d: str) -> DataFrame:
-    return transform.cross_tab(T(s, d, "customer").where("c_mktsegment in ('AUTOMOBILE', 'BUILDING')"), ["c_nationkey"], "c_mktsegment", "c_acctbal", "count", values=["AUTOMOBILE", "BUILDING"])
+    return transform.cross_tab(T(s, d, "customer"), ["c_nationkey"], "c_mktsegment", "c_acctbal", "count")
+
+
+_DESCENDING = "o_orderdate desc, o_orderpriority, o_orderkey desc"
+
+
+@query(f"""select o_custkey, arg_min(o_totalprice, r)::double as first_price, arg_max(o_totalprice, r)::double as last_price, arg_min(o_orderstatus, r) as first_status, string_agg(o_orderkey::varchar, ',' order by r) as keys
+from (select *, row_number() over (order by {_DESCENDING}) as r from orders) group by 1""")
+def summarize_descending(s: SparkSession, d: str) -> DataFrame:
+    """First, Last and Concat after a sort in both directions."""
+    acts = [Action("o_custkey", "GroupBy"), Action("o_totalprice", "First", "first_price"), Action("o_totalprice", "Last", "last_price"), Action("o_orderstatus", "First", "first_status"), Action("o_orderkey", "Concat", "keys")]
+    return transform.summarize(T(s, d, "orders"), acts, [("o_orderdate", False), ("o_orderpriority", True), ("o_orderkey", False)])
+
+
+@query("""select raised_level, arg_min(diagnostic_id, r)::bigint as first_id, arg_max(diagnostic_id, r)::bigint as last_id
+from (select diagnostic_id, coalesce(level, '-') as raised_level, row_number() over (order by tool_id nulls last, category desc nulls last, diagnostic_id, ingested_at) as r from diagnostics) group by 1""")
+def summarize_null_order(s: SparkSession, d: str) -> DataFrame:
+    """Null sort keys come last in both directions."""
+    rows = T(s, d, "diagnostics").withColumn("raised_level", F.coalesce("level", F.lit("-")))
+    acts = [Action("raised_level", "GroupBy"), Action("diagnostic_id", "First", "first_id"), Action("diagnostic_id", "Last", "last_id")]
+    return transform.summarize(rows, acts, [("tool_id", True), ("category", False), ("diagnostic_id", True), ("ingested_at", True)])
+
+
+_PICKED = "select *, row_number() over (order by o_totalprice desc, o_orderkey) as r from orders"
+
+
+@query(f"select o_custkey, " + ", ".join(f"arg_min(o_orderkey, r) filter (where o_orderstatus = '{x}')::bigint as {x}" for x in "FOP") + f" from ({_PICKED}) group by 1")
+def crosstab_first(s: SparkSession, d: str) -> DataFrame:
+    return transform.cross_tab(T(s, d, "orders"), ["o_custkey"], "o_orderstatus", "o_orderkey", "first", order=[("o_totalprice", False), ("o_orderkey", True)])
+
+
+@query(f"select o_custkey, " + ", ".join(f"string_agg(o_orderkey::varchar, ', ' order by r) filter (where o_orderstatus = '{x}') as {x}" for x in "FOP") + f" from ({_PICKED}) group by 1")
+def crosstab_concat(s: SparkSession, d: str) -> DataFrame:
+    return transform.cross_tab(T(s, d, "orders"), ["o_custkey"], "o_orderstatus", "o_orderkey", "concat", order=[("o_totalprice", False), ("o_orderkey", True)])
 
 
 @query("from (select s_suppkey, s_nationkey::double as s_nationkey, s_acctbal from supplier) unpivot include nulls (Value for Name in (s_nationkey, s_acctbal))")
