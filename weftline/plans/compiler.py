@@ -327,7 +327,15 @@ def _output(t: Task) -> dict:
     return {}
 
 
-@builds("Browse", "Message", "Detour End", "Data Stream Out", "Data Stream In")
+@builds("Detour End")
+def _detour_end(t: Task) -> dict:
+    """Whichever way the rows came: both ways united by name, the one not taken being empty."""
+    if len(t.inputs) < 2:
+        return {"Output": t.one}
+    return {"Output": Stream(joins.union([s.df for s in t.inputs], by_name=True), t.one.order, L.carried(t.one.df.columns, [s.origins for s in t.inputs]))}
+
+
+@builds("Browse", "Message", "Data Stream Out", "Data Stream In")
 def _pass(t: Task) -> dict:
     if t.tool.definition.name == "Message":
         t.say.append(("message", t.config.text("Message", "Text") or ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 from weftline.plans.document import Connection, Workflow
 
@@ -72,14 +72,29 @@ class Graph:
         """Anchors of a tool that some connection leaves, once per connection."""
         return [c.origin_anchor for c in self.out[tool]]
 
-    def paths(self, limit: int = 10_000) -> Iterable[tuple[int, ...]]:
-        """Paths from sources to sinks, at most ``limit`` as their number may grow exponentially."""
-        found = 0
-        stack = [(s,) for s in reversed(self.sources())]
-        while stack and found < limit:
-            path = stack.pop()
-            steps = sorted({c.destination for c in self.out[path[-1]]}, reverse=True)
-            if not steps:
-                found += 1
-                yield path
-            stack.extend((*path, n) for n in steps)
+    def paths(self) -> Iterator[tuple[int, ...]]:
+        """All paths from sources to sinks, made one by one: their number may grow exponentially, the memory only with the
+        longest of them. Loops raise. ``path_counts`` tells how many there are without making them."""
+        self.order()
+        for source in self.sources():
+            path, steps = [source], [iter(self._next(source))]
+            while steps:
+                n = next(steps[-1], None)
+                if n is None:
+                    if not self.out[path[-1]]:
+                        yield tuple(path)
+                    path.pop()
+                    steps.pop()
+                else:
+                    path.append(n)
+                    steps.append(iter(self._next(n)))
+
+    def _next(self, tool: int) -> list[int]:
+        return sorted({c.destination for c in self.out[tool]})
+
+    def path_counts(self) -> dict[int, int]:
+        """Paths from each tool to a sink."""
+        counts: dict[int, int] = {}
+        for n in reversed(self.order()):
+            counts[n] = sum(counts[m] for m in self._next(n)) or 1
+        return counts
