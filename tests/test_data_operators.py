@@ -53,7 +53,34 @@ def test_burst_trie_counts_whatever_bursts():
     assert found == Counter(texts)
 
 
-@pytest.mark.parametrize("limits", [{}, {"burst": 2, "route_entries": 5, "routes": 1000}])
+def test_burst_trie_of_long_shared_prefixes():
+    rng = random.Random(5)
+    shared = "https://www.example.test/" + "very/long/path/" * 40
+    texts = [shared + str(rng.randrange(900)) for _ in range(4000)] + [shared[: rng.randrange(len(shared))] for _ in range(300)] + ["", shared]
+    trie = BurstTrie(burst=8)
+    new = sum(trie.add(t, 1, 1) for t in texts)
+    found = Counter()
+    for prefix, suffixes, occ, _ in trie.subtrees():
+        for s, o in zip(suffixes, occ, strict=True):
+            found[prefix + s] += o
+    assert found == Counter(texts) and new == len(found)
+
+
+def test_terms_that_share_a_long_prefix_are_divided(spark):
+    """No route takes them all, though no prefix of 64 characters tells them apart."""
+    from weftline.operators import terms as m
+
+    shared = "x" * 100
+    data = [(i % 7, shared + str(i % 500)) for i in range(3000)]
+    df = spark.createDataFrame(data, "w int, v string").repartition(4)
+    counts = count_terms([(df, "w", {"a": "v"})], route_entries=50, routes=1000, plant=200)
+    found = {r["term"]: (r["occurrences"], r["records"]) for r in counts.collect()}
+    assert found == {shared + str(i): (6, len({k % 7 for k in range(i, 3000, 500)})) for i in range(500)}
+    routes = m.Routes({("a", "x" * d): 500 for d in range(m.MAX_PREFIX + 1)}, 1, 50)
+    assert routes.of("a", shared) == ("x" * m.MAX_PREFIX, 10) and routes.of("a", "xy") == ("xy", 1) and routes.of("a", "x") == ("x\x00", 1)
+
+
+@pytest.mark.parametrize("limits", [{}, {"burst": 2, "route_entries": 5, "routes": 1000}, {"burst": 3, "route_entries": 4, "routes": 2, "plant": 20}])
 def test_terms_against_brute_force(spark, limits):
     rng = random.Random(2)
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(60)] + ["hot"] * 60
