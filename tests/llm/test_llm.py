@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.leaks import Index, find_leaks, myers, words
 from weftline.llm.spam import Counts, Hashes, Limits, corpus_counts, find_spam, pair_keys, score_pages, spam_share, tokens
-from weftline.llm.tokens import CHUNK, RUN, Tokenizer, decode_ids, default_ranks, encode_texts
+from weftline.llm.tokens import CHUNK, RUN, decode_ids, default_ranks, encode_texts, tokenizer
 
 
 # --- tokens -----------------------------------------------------------------------------------------
@@ -20,7 +20,7 @@ from weftline.llm.tokens import CHUNK, RUN, Tokenizer, decode_ids, default_ranks
 
 @pytest.fixture(scope="module")
 def tok():
-    return Tokenizer(default_ranks())
+    return tokenizer(default_ranks())
 
 
 def plain_encode(tok, text):
@@ -51,6 +51,10 @@ def test_long_texts(tok):
     assert tok.encode(spaced) == plain_encode(tok, spaced)
     huge = " " * 1_000_000 + "x"  # the plain way overflows its stack here
     assert tok.decode_bytes(tok.encode(huge)).decode() == huge
+    # no white space at all
+    for mixed in ("".join(rng.choices("abcXYZ0189+/", k=5 * CHUNK)), "".join(rng.choices(["データ", "の確認", "、", "。", "12", "é", "'s"], k=CHUNK))):
+        assert tok.encode(mixed) == plain_encode(tok, mixed)
+        assert max(len(x) for x in tok._pieces(mixed)) < CHUNK + 200
     one = "a" * 300_000
     assert tok.decode_bytes(tok.encode(one)).decode() == one
 
@@ -114,8 +118,10 @@ def test_no_leak_within_the_budget_is_missed(items, docs, budget):
 
 
 def test_words():
-    assert words("Größe_group, ﬁne ＡＢＣ ﬀ x­yz a​b ½") == ["grösse", "group", "fine", "abc", "ff", "xyz", "ab", "1", "2"]
-    assert words(unicodedata.normalize("NFD", "Größe É")) == words("GRÖSSE é")
+    assert words("Größe_group, ﬁne ＡＢＣ ﬀ x­yz a​b ½") == ["größe", "group", "fine", "abc", "ff", "xyz", "ab", "1", "2"]
+    assert words(unicodedata.normalize("NFD", "Größe É")) == words("GRÖẞE é")
+    # upper as lower case and no more: letters are not spelled out, none is divided
+    assert words("Straße STRASSE İstanbul ΟΔΟΣ οδος") == ["straße", "strasse", "istanbul", "οδοσ", "οδοσ"]
 
 
 def test_leaks_of_rows(spark):

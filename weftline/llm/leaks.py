@@ -34,9 +34,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters and digits, compatibility forms plain, case folded, format characters absent."""
-    text = compatible(compatible(text).casefold())
-    return _WORD.findall(text)
+    """Runs of letters and digits, compatibility forms plain, upper as lower case, format characters absent."""
+    text = compatible(text)
+    if not text.isascii():
+        # the dotted capital would leave a loose dot, and a final sigma is the same letter
+        text = text.replace("İ", "i").lower().replace("ς", "σ")
+        return _WORD.findall(compatible(text))
+    return _WORD.findall(text.lower())
 
 
 def myers(pattern: Sequence[int], text: Sequence[int]) -> int:
