@@ -1,19 +1,23 @@
 """Terms, flattening, references, hierarchies and drift against brute force, and their edge cases."""
 
+import itertools
 import json
 import math
 import random
 import re
 import xml.etree.ElementTree as ET
 from collections import Counter, defaultdict
-from datetime import datetime
+from datetime import date, datetime
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.operators.drift import HeaderReader, drift_of_records, fits, promote, read_drifting
+from weftline.operators.drift import HeaderReader, drift_of_records, fits, read_drifting
 from weftline.operators.flatten import explode_arrays, flatten_texts
 from weftline.operators.hierarchy import container_links, descendants, resolve_forest
+from weftline.operators.lattice import Seen
 from weftline.operators.references import Parents, References, find_orphans, orphan_report
 from weftline.operators.terms import BurstTrie, count_terms, mark_terms
 
@@ -391,4 +395,52 @@ def test_files_of_drifting_schemas(spark, tmp_path):
     assert rows(table) == sorted([("1", "a", None, None), ("2", "b", 2.5, None), ("x", None, 3.5, "c")], key=str)
     assert [tuple(r)[0:1] + tuple(r)[2:4] for r in log.orderBy("seq", "change_kind", "field").collect()] == [(1, "added", "score"), (1, "retyped", "id"), (2, "renamed", "name -> title"), (2, "retyped", "id")]
     assert read_drifting(spark, [])[0].columns == []
-    assert promote("int", "double") == "double" and promote("boolean", "int") == "string" and promote("date", "timestamp_ntz") == "timestamp_ntz"
+    twice = read_drifting(spark, [paths[0], paths[1], paths[0]])[0]
+    assert sorted(r["id"] for r in twice.collect()) == sorted([r["id"] for p in (0, 1, 0) for r in spark.read.parquet(paths[p]).collect()])
+
+
+TYPES = [
+    T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.DecimalType(10, 2), T.DecimalType(38, 0), T.DecimalType(12, 11), T.DateType(), T.TimestampType(), T.TimestampNTZType(),
+    T.BooleanType(), T.StringType(), T.BinaryType(), T.NullType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.DecimalType(5, 1)), T.MapType(T.StringType(), T.FloatType()), T.MapType(T.StringType(), T.LongType()),
+    T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())]), T.StructType([T.StructField("b", T.DateType()), T.StructField("a", T.DoubleType())]),
+]
+
+
+def _sorted_fields(kind):
+    if isinstance(kind, T.StructType):
+        return T.StructType(sorted((T.StructField(f.name, _sorted_fields(f.dataType)) for f in kind), key=lambda f: f.name))
+    return kind
+
+
+def test_least_type_does_not_depend_on_the_order_of_files():
+    for three in itertools.combinations_with_replacement(TYPES, 3):
+        made = set()
+        for a, b, c in set(itertools.permutations(three)):
+            made.add(_sorted_fields(((Seen.of(a) | Seen.of(b)) | Seen.of(c)).type()).json())
+            made.add(_sorted_fields((Seen.of(a) | (Seen.of(b) | Seen.of(c))).type()).json())
+        assert len(made) == 1, three
+
+
+def test_least_types():
+    of = lambda *kinds: reduce(Seen.__or__, map(Seen.of, kinds)).type()
+    assert of(T.IntegerType(), T.FloatType(), T.DoubleType()) == T.DoubleType() and of(T.ShortType(), T.FloatType()) == T.FloatType()
+    assert of(T.LongType(), T.DecimalType(10, 2)) == T.DecimalType(21, 2) and of(T.DecimalType(38, 0), T.DecimalType(12, 11)) == T.DoubleType()
+    assert of(T.DateType(), T.TimestampNTZType()) == T.TimestampNTZType() and of(T.BooleanType(), T.ByteType()) == T.StringType() and of(T.NullType()) == T.StringType()
+    assert of(T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())) == T.ArrayType(T.LongType()) and of(T.NullType(), T.DateType()) == T.DateType()
+
+
+def test_nested_fields_drift_too(spark, tmp_path):
+    frames = [
+        spark.sql("select 1 as id, named_struct('x', 1, 'y', 'p') as s, array(1, 2) as l, map('k', 1) as m"),
+        spark.sql("select 2L as id, named_struct('y', 'q', 'x', 2.5D, 'z', date'2024-01-01') as s, array(1.5BD) as l, map('k', 2L) as m"),
+        spark.sql("select 3 as id, cast(null as struct<x: int, y: string>) as s, 'none' as l, map('k', 3) as m"),
+    ]
+    paths = []
+    for i, f in enumerate(frames):
+        f.coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+        paths.append(str(next((tmp_path / f"f{i}").glob("*.parquet"))))
+    table, log = read_drifting(spark, paths)
+    assert table.dtypes == [("id", "bigint"), ("s", "struct<x:double,y:string,z:date>"), ("l", "string"), ("m", "map<string,bigint>")]
+    found = {r["id"]: (r["s"] and tuple(r["s"]), r["l"], r["m"]) for r in table.collect()}
+    assert found == {1: ((1.0, "p", None), "[1,2]", {"k": 1}), 2: ((2.5, "q", date(2024, 1, 1)), "[1.5]", {"k": 2}), 3: (None, "none", {"k": 3})}
+    assert {(r["seq"], r["change_kind"], r["field"]) for r in log.collect()} == {(i, "retyped", f) for i in (1, 2) for f in ("id", "s", "l", "m")}

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.lattice import Seen, conform
 from weftline.operators.terms import term
 from weftline.session import cut, ship
 
@@ -189,84 +192,86 @@ def changes(folded: DataFrame) -> DataFrame:
 
 # --- files ------------------------------------------------------------------------------------------
 
-#: Promotion order of Spark types: each may become the next ones of its chain, everything may become a string.
-_CHAIN = ("tinyint", "smallint", "int", "bigint", "decimal(38,6)", "double")
+_SCHEMAS = "seq bigint, path string, schema string"
+_CHANGES = "change_kind string, field string, old_type string, new_type string"
 
 
-def promote(a: str, b: str) -> str:
-    """The least type of the lattice that holds values of both."""
-    if a == b:
-        return a
-    if a in _CHAIN and b in _CHAIN:
-        return _CHAIN[max(_CHAIN.index(a), _CHAIN.index(b))]
-    if {a, b} <= {"date", "timestamp", "timestamp_ntz"}:
-        return "timestamp" if "timestamp" in (a, b) else "timestamp_ntz"
-    if {a, b} == {"float", "double"}:
-        return "double"
-    return "string"
+def _arrow_schema(kind: pa.Schema) -> T.StructType:
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-
-def _spark_type(kind: pa.DataType) -> str:
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    return from_arrow_type(kind, prefer_timestamp_ntz=True).simpleString()
+    return from_arrow_schema(kind, prefer_timestamp_ntz=True)
 
 
 def file_schemas(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(seq, path, names, types) of Parquet files from their footers, read by the executors. seq is their order."""
+    """(seq, path, schema) of Parquet files from their footers, read by the executors. seq is their order, schema JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         for batch in batches:
-            names, types = [], []
+            schemas = []
             for path in batch.column(1).to_pylist():
                 files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-                schema = pq.read_schema(inner, filesystem=files)
-                names.append(schema.names)
-                types.append([_spark_type(f.type) for f in schema])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string()))], names=["seq", "path", "names", "types"])
+                schemas.append(_arrow_schema(pq.read_schema(inner, filesystem=files)).json())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(schemas, pa.string())], names=["seq", "path", "schema"])
 
     ship(spark)
     frame = spark.createDataFrame([*enumerate(paths)], "seq bigint, path string").repartition(min(len(paths), 256) or 1)
-    return frame.mapInArrow(run, "seq bigint, path string, names array<string>, types array<string>")
+    return frame.mapInArrow(run, _SCHEMAS)
+
+
+def schema_changes(old: T.StructType, new: T.StructType) -> list[tuple[str, str, str | None, str | None]]:
+    """(change_kind, field, old_type, new_type): ``added``, ``removed``, ``retyped``, ``renamed`` (one gone and one new field of
+    equal type, as ``old -> new``)."""
+    was, now = ({f.name: f.dataType for f in s} for s in (old, new))
+    gone, fresh = [n for n in was if n not in now], [n for n in now if n not in was]
+    text = lambda t: t.simpleString()
+    if len(gone) == len(fresh) == 1 and was[gone[0]] == now[fresh[0]]:
+        out = [("renamed", f"{gone[0]} -> {fresh[0]}", text(was[gone[0]]), text(now[fresh[0]]))]
+    else:
+        out = [("removed", n, text(was[n]), None) for n in gone] + [("added", n, None, text(now[n])) for n in fresh]
+    return out + [("retyped", n, text(was[n]), text(now[n])) for n in was if n in now and not Seen.of(was[n]).same(Seen.of(now[n]))]
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parsed = lru_cache(maxsize=1024)(T._parse_datatype_json_string)
+    for batch in batches:
+        rows = [(seq, path, *c) for seq, path, old, new in zip(*(x.to_pylist() for x in batch.columns), strict=True) for c in schema_changes(parsed(old), parsed(new))]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = [pa.int64(), *[pa.string()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["seq", "path", "change_kind", "field", "old_type", "new_type"])
 
 
 def read_drifting(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """All Parquet files as one table and the log of their changes.
 
-    The table has every column of any file in the order of first appearance, each cast to the least common type;
-    a column that a file lacks is null. A repeated path is read again. The log has (seq, path, change_kind,
-    field, old_type, new_type) with ``added``, ``removed``, ``retyped`` or ``renamed`` (one gone and one new column
-    of equal type; field is then ``old -> new``) against the file before. No paths give two empty frames. Only
-    schemas reach the driver, one row per file; files of equal schema share one scan.
+    The table has every column of any file in the order of first appearance, each cast to the least type that holds the
+    values of all files (see ``lattice``), nested fields too; a column that a file lacks is null. A repeated path is read
+    again. The log has (seq, path, change_kind, field, old_type, new_type) against the file before, see
+    ``schema_changes``. No paths give two empty frames. Footers are read and compared by the executors; the different
+    schemas reach the driver, and of each file the number of its own. Files of equal schema share one scan.
     """
-    log_schema = "seq bigint, path string, change_kind string, field string, old_type string, new_type string"
+    log_schema = f"seq bigint, path string, {_CHANGES}"
     if not paths:
         return spark.createDataFrame([], T.StructType([])), spark.createDataFrame([], log_schema)
-    found = sorted(file_schemas(spark, paths).collect(), key=lambda r: r["seq"])
-    union: dict[str, str] = {}
-    log: list[tuple] = []
-    before: dict[str, str] | None = None
-    groups: dict[tuple, list[str]] = {}
-    for r in found:
-        here = dict(zip(r["names"], r["types"], strict=True))
-        groups.setdefault(tuple(here.items()), []).append(r["path"])
-        for name, kind in here.items():
-            union[name] = promote(union[name], kind) if name in union else kind
-        if before is not None:
-            gone, new = [n for n in before if n not in here], [n for n in here if n not in before]
-            if len(gone) == len(new) == 1 and before[gone[0]] == here[new[0]]:
-                log.append((r["seq"], r["path"], "renamed", f"{gone[0]} -> {new[0]}", before[gone[0]], here[new[0]]))
-            else:
-                log += [(r["seq"], r["path"], "removed", n, before[n], None) for n in gone] + [(r["seq"], r["path"], "added", n, None, here[n]) for n in new]
-            log += [(r["seq"], r["path"], "retyped", n, before[n], here[n]) for n in before if n in here and before[n] != here[n]]
-        before = here
+    found = cut(file_schemas(spark, paths))
+    kinds = {r["schema"]: (r["first"], T._parse_datatype_json_string(r["schema"])) for r in found.groupBy("schema").agg(F.min("seq").alias("first")).collect()}
+    in_order = sorted(kinds.values(), key=lambda x: x[0])
+    union = reduce(Seen.__or__, (Seen.of(schema) for _, schema in in_order)).type()
+    number = {first: [] for first, _ in in_order}
+    firsts = found.groupBy("schema").agg(F.min("seq").alias("first"))
+    for r in found.join(firsts, "schema").select("seq", "first").toLocalIterator():
+        number[r["first"]].append(paths[r["seq"]])
     out = None
-    for fields, files in groups.items():
-        have = dict(fields)
-        df = spark.read.parquet(*files)
-        df = df.select(*[(F.col(f"`{n}`").cast(t) if n in have else F.lit(None).cast(t)).alias(n) for n, t in union.items()])
-        out = df if out is None else out.unionByName(df)
-    return out, spark.createDataFrame(log, log_schema)
+    for first, schema in in_order:
+        own = {f.name: f.dataType for f in schema}
+        # a path read twice gives its rows twice
+        rounds = [[p for p, n in Counter(number[first]).items() if n > k] for k in range(max(Counter(number[first]).values()))]
+        for files in rounds:
+            df = spark.read.schema(schema).parquet(*files)
+            df = df.select(*[(conform(F.col(f"`{f.name}`"), own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name) for f in union])
+            out = df if out is None else out.unionByName(df)
+    before = found.select((F.col("seq") + 1).alias("seq"), F.col("schema").alias("old"))
+    pairs = found.join(before, "seq").where("schema <> old").select("seq", "path", "old", F.col("schema").alias("new"))
+    return out, pairs.mapInArrow(_differences, log_schema)

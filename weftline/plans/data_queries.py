@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.drift import drift_of_records
+from weftline.operators.drift import drift_of_records, read_drifting
 from weftline.operators.flatten import explode_arrays, flatten_texts
 from weftline.operators.hierarchy import FRAGMENT, container_links, resolve_forest
 from weftline.operators.references import Parents, References, find_orphans, orphan_report
 from weftline.operators.terms import count_terms, mark_terms
-from weftline.session import table
+from weftline.session import ensure_checkpoint_dir, table
 
 
 def _term_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +78,36 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.select(F.col("kind").alias("tool_type"), "since_release", "change_kind", "field_path", "new_field_path")
 
 
+def _drifting_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The tools as three writers with different schemas would have left them, read as one: rows saved before 2024, in 2024
+    and later or at no time."""
+    tools = table(spark, d, "tools")
+    year = F.year("modified_at")
+    versions = [
+        tools.where(year < 2024).select("record_id", F.col("pos_x").cast("int").alias("at_x"), F.col("pos_y").cast("smallint").alias("at_y"), "name", F.struct("workflow_id", "tool_id").alias("ref")),
+        tools.where(year == 2024).select("record_id", F.col("pos_x").cast("decimal(12,2)").alias("at_x"), F.col("pos_y").cast("float").alias("at_y"), F.col("name").alias("label"), F.struct("tool_id", "workflow_id", "container_id").alias("ref")),
+        tools.where((year > 2024) | year.isNull()).select("record_id", F.col("pos_x").cast("bigint").alias("at_x"), F.col("pos_y").cast("int").alias("at_y"), F.col("name").alias("label"), F.to_date("modified_at").alias("day")),
+    ]
+    folder = f"{ensure_checkpoint_dir(spark)}/drift-{uuid.uuid4().hex}"
+    paths: list[str] = []
+    for i, v in enumerate(versions):
+        v.write.parquet(f"{folder}/{i}")
+        paths += sorted(spark.read.parquet(f"{folder}/{i}").inputFiles())
+    return read_drifting(spark, [p.replace("file:///", "/") for p in paths])
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """One table of files whose columns are added, renamed, removed and retyped, nested ones too."""
+    files, _ = _drifting_files(spark, d)
+    return files.select("record_id", F.col("at_x").cast("double").alias("at_x"), F.col("at_y").cast("double").alias("at_y"), "name", "label", "ref.workflow_id", "ref.tool_id", "ref.container_id", "day")
+
+
+def p5_file_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What has changed between them."""
+    _, log = _drifting_files(spark, d)
+    return log.select("change_kind", "field", "old_type", "new_type")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -87,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_quotients": p4_quotients,
     "p5_found": p5_found,
+    "p5_files": p5_files,
+    "p5_file_changes": p5_file_changes,
 }
 
 _TERMS = """
@@ -161,3 +194,11 @@ select l.workflow_id, l.node, -1, -1, '', case when c.node is null then 'under_c
 from loose l left join looped c on l.workflow_id = c.workflow_id and l.node = c.node""",
 }
 ORACLES["p4_quotients"] = ORACLES["p4_found"]
+ORACLES["p5_files"] = """
+select record_id, pos_x::double as at_x, case when old then pos_y::smallint else pos_y end::double as at_y, case when old then name end as name, case when not old then name end as label,
+  case when new then null else workflow_id end as workflow_id, case when new then null else tool_id end as tool_id, case when not old and not new then container_id end as container_id, case when new then modified_at::date end as day
+from (select *, coalesce(year(modified_at) < 2024, false) as old, coalesce(year(modified_at) > 2024, true) as new from tools)"""
+ORACLES["p5_file_changes"] = """
+select * from (values ('retyped', 'at_x', 'int', 'decimal(12,2)'), ('retyped', 'at_y', 'smallint', 'float'), ('renamed', 'name -> label', 'string', 'string'),
+  ('retyped', 'ref', 'struct<workflow_id:bigint,tool_id:bigint>', 'struct<tool_id:bigint,workflow_id:bigint,container_id:bigint>'), ('retyped', 'at_x', 'decimal(12,2)', 'bigint'), ('retyped', 'at_y', 'float', 'int'),
+  ('removed', 'ref', 'struct<tool_id:bigint,workflow_id:bigint,container_id:bigint>', null), ('added', 'day', null, 'date')) t(change_kind, field, old_type, new_type)"""
