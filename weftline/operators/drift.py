@@ -166,28 +166,30 @@ def changes(folded: DataFrame) -> DataFrame:
     ``added``, ``removed``, ``retyped``; a gone and a new field that are the only ones of one parent path and value
     type make one ``renamed`` row with both paths. new_field_path is empty for the others.
     """
-    key = ["kind", "major", "minor"]
-    releases = folded.select(*key).distinct()
-    by_order = Window.partitionBy("kind").orderBy("major", "minor")
-    releases = releases.select(*key, F.lag("major").over(by_order).alias("p_major"), F.lag("minor").over(by_order).alias("p_minor")).where("p_major is not null")
-    fields = folded.where("path is not null").select(*key, "path", type_name(F.col("mask")).alias("type"))
-    now = fields.join(releases.select(*key), key, "left_semi").withColumnRenamed("type", "new_type")
-    was = fields.select("kind", F.col("major").alias("p_major"), F.col("minor").alias("p_minor"), "path", F.col("type").alias("old_type")).join(releases, ["kind", "p_major", "p_minor"]).select(*key, "path", "old_type")
-    both = was.join(now, [*key, "path"], "full").where("old_type is null or new_type is null or old_type <> new_type")
-    moved = both.where("old_type is null or new_type is null").select(
-        *key, "path", F.col("old_type").isNotNull().alias("gone"), F.coalesce("old_type", "new_type").alias("type"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("above")
-    )
-    of = lambda gone: F.when(F.col("gone") == gone, F.col("path"))
-    groups = moved.groupBy(*key, "above", "type").agg(F.collect_list(of(True)).alias("gone"), F.collect_list(of(False)).alias("new"))
-    one_each = (F.size("gone") == 1) & (F.size("new") == 1)
+    release = F.struct("major", "minor")
+    kinds = folded.groupBy("kind").agg(F.array_sort(F.collect_set(release)).alias("releases"))
+    at = F.array_position("releases", release).cast("int")
+    fields = folded.where("path is not null").join(kinds, "kind").select("kind", "path", type_name(F.col("mask")).alias("type"), "releases", at.alias("at"))
+    # a field's releases in order: where one is missing in between, it went and came back
+    by_field = Window.partitionBy("kind", "path").orderBy("at")
+    fields = fields.withColumns({"was_at": F.lag("at").over(by_field), "was": F.lag("type").over(by_field), "next_at": F.lead("at").over(by_field)})
+    stays = F.coalesce(F.col("was_at") == F.col("at") - 1, F.lit(False))
+    goes = (F.col("at") < F.size("releases")) & F.coalesce(F.col("next_at") > F.col("at") + 1, F.lit(True))
+    event = lambda when, kind, r: F.when(when, F.struct(F.lit(kind).alias("what"), F.col("releases")[r].alias("since")))
+    events = F.array_compact(F.array(
+        event((F.col("at") > 1) & ~stays, "added", F.col("at") - 1), event(goes, "removed", F.col("at")), event(stays & (F.col("was") != F.col("type")), "retyped", F.col("at") - 1),
+    ))
+    events = fields.select("kind", "path", "type", F.explode(events).alias("e")).select("kind", "path", "type", "e.what", "e.since")
+    # gone and new fields of one place and type meet; retyped ones stay by themselves
+    above = F.when(F.col("what") == "retyped", F.col("path")).otherwise(F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    of = lambda what: F.collect_list(F.when(F.col("what") == what, F.col("path")))
+    groups = events.groupBy("kind", "since", above.alias("above"), "type", (F.col("what") == "retyped").alias("stays")).agg(of("removed").alias("gone"), of("added").alias("new"), of("retyped").alias("other"))
     row = lambda kind, old, new: F.struct(F.lit(kind).alias("change_kind"), old.alias("field_path"), new.alias("new_field_path"))
-    rows = F.when(one_each, F.array(row("renamed", F.col("gone")[0], F.col("new")[0]))).otherwise(
-        F.concat(F.transform("gone", lambda x: row("removed", x, F.lit(""))), F.transform("new", lambda x: row("added", x, F.lit(""))))
-    )
-    release = F.concat_ws(".", F.col("major").cast("string"), F.col("minor").cast("string")).alias("since_release")
-    shifted = groups.select("kind", release, F.explode(rows).alias("r")).select("kind", "since_release", "r.*")
-    retyped = both.where("old_type is not null and new_type is not null").select("kind", release, F.lit("retyped").alias("change_kind"), F.col("path").alias("field_path"), F.lit("").alias("new_field_path"))
-    return shifted.unionByName(retyped)
+    each = lambda kind, c: F.transform(c, lambda x: row(kind, x, F.lit("")))
+    one_each = (F.size("gone") == 1) & (F.size("new") == 1)
+    rows = F.when(one_each, F.array(row("renamed", F.col("gone")[0], F.col("new")[0]))).otherwise(F.concat(each("removed", "gone"), each("added", "new"), each("retyped", "other")))
+    since = F.concat_ws(".", F.col("since.major").cast("string"), F.col("since.minor").cast("string")).alias("since_release")
+    return groups.select("kind", since, F.explode(rows).alias("r")).select("kind", "since_release", "r.*")
 
 
 # --- files ------------------------------------------------------------------------------------------
