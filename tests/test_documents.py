@@ -174,6 +174,14 @@ def test_duplicates_are_reported_with_the_rest(spark):
     assert found == {(100, "b2", 1, None), (101, None, 2, None), (102, "b1", 3, None), (None, "b2", None, 1), (None, "b1", None, 2)}
 
 
+def test_first_rule_of_any_block_counts(spark):
+    flow = load(document([node(1, "DbFileInput"), node(2, "DbFileInput"), node(3, "DynamicReplace"), node(4, "BrowseV2")], [(1, "", 3, "Values"), (2, "", 3, "Expressions"), (3, "", 4, "")]))
+    rules = [("v", f"[v] = {i}", str(i + 1)) for i in range(450)] + [("v", "[v] = 3", "99"), ("w", "[v] >= 0", "w"), ("v", "[v] +", "0"), ("gone", "TRUE", "0")]
+    done = compile_workflow(flow, spark, inputs={1: spark.createDataFrame([(3, "a"), (449, "b"), (600, None), (None, "c")], "v int, w string"), 2: spark.createDataFrame(rules, "f string, c string, x string")})
+    assert sorted(map(tuple, done.frame(3).collect()), key=str) == sorted([(4, "w"), (450, "w"), (600, "w"), (None, "c")], key=str)
+    assert done.frame(3, "Errors").count() == 2
+
+
 def test_detours_meet(spark):
     for right, want in (("True", {("x", None, "seen")}), ("False", {("x", "kept", None)})):
         made = [node(1, "TextInput", '<Fields><Field name="a"/></Fields><Data><r><c>x</c></r></Data>'), node(2, "Detour", f'<DetourRight value="{right}"/>')]

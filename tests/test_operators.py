@@ -1,5 +1,7 @@
 """Tool operators on small frames full of nulls, ties and repeats, and on none."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,57 @@ def test_find_replace_fuzzy_and_groups(spark):
     assert joins.make_group(edges.limit(0), "a", "b").count() == 0
 
 
+def test_replacing_by_many_rules_is_the_same_as_one_after_the_other(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abc", k=rng.randrange(1, n)))
+    rules = [(word(5), word(4) if rng.random() < 0.9 else None) for _ in range(120)] + [("", "x"), (None, "y")]
+    texts = [word(20) for _ in range(200)] + [None, "", "zzz"]
+    want = []
+    for t in texts:
+        for a, b in sorted({(a, b or "") for a, b in rules if a}, key=lambda r: (-len(r[0]), r)):
+            t = t and t.replace(a, b)
+        want.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").repartition(3)
+    table = spark.createDataFrame(rules, "f string, r string")
+    for size in (joins.AUTOMATON_BYTES, 40):  # one block, and many
+        monkeypatch.setattr(joins, "AUTOMATON_BYTES", size)
+        assert [r["s"] for r in joins.find_replace(df, table, "s", "f", "r", mode="part").orderBy("id").collect()] == want
+    # tens of thousands of rules
+    many = spark.range(20_000).selectExpr("concat('key', id, ';') as f", "concat('<', id, '>') as r")
+    assert joins.find_replace(spark.createDataFrame([("key7;key19999;key20000;",)], "s string"), many, "s", "f", "r", mode="part").first()[0] == "<7><19999>key20000;"
+
+
+def test_fuzzy_rows_grow_with_the_length(spark):
+    """Rows of a text in proportion to its length, and no pair lost at any threshold."""
+    for threshold in (0.5, 0.6, 0.75, 0.8, 0.9, 0.97):
+        for n in (20, 80, 160, 640):
+            texts = spark.createDataFrame([(1, "ab" * (n // 2), n)], "id bigint, t string, n int")
+            short, long = joins._pieces(texts, threshold)
+            assert short.count() <= n * (1 - threshold) / threshold * 1.5 + 2 and long.count() <= 9 * n, (threshold, n, long.count())
+    rng = random.Random(12)
+    names = ["".join(rng.choices("ab", k=rng.randrange(1, 13))) for _ in range(70)]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, n string")
+    texts = {t: min(i for i, x in enumerate(names) if x == t) for t in names}
+    for threshold in (0.5, 0.67, 0.8, 0.9):
+        want = {tuple(sorted((texts[a], texts[b]))) for a in texts for b in texts if a < b and 1 - _edits(a, b) / max(len(a), len(b)) >= threshold}
+        assert {(r["id_left"], r["id_right"]) for r in joins.fuzzy_match(df, "id", "n", threshold=threshold).collect()} == want, threshold
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_sides_are_measured_before_they_are_sent(spark):
+    wide = spark.range(100).selectExpr("id", "repeat('x', 200000) as t")
+    assert joins.small(spark.range(100).toDF("a")) and not joins.small(wide) and not joins.small(spark.range(11).toDF("a"), rows=10) and joins.small(wide.limit(0))
+
+
 def test_order_dependent(few, spark):
     up = [("v", True), ("id", True)]
     assert [r["id"] for r in ordered.sort(few, [("v", False), ("id", True)]).collect()][:2] == [2, 1]

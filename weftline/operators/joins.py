@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import columns as C
 from weftline.operators import ordered as O
-from weftline.session import cut
+from weftline.session import cut, ship
 
-#: A side is sent to all tasks only if its rows were counted to be at most this many.
-BROADCAST_ROWS = 100_000
+#: A side is sent to all tasks only if it was measured to be at most this large.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
+#: Rules of a replacement that are made expressions; more become automata, each of so many bytes of rules.
+EXPRESSIONS, AUTOMATON_BYTES = 32, 4 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most so many rows; reads no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the frame has at most so many rows and bytes, as written out; reads no more than one row beyond."""
+    found = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
+    return found["rows"] <= rows and found["size"] <= size
 
 
 def _condition(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
@@ -103,8 +108,8 @@ def join_multiple(frames: Sequence[DataFrame], keys: Sequence[str] | None = None
 
 
 def append_fields(targets: DataFrame, source: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Every target row with every source row; this operator's meaning is the product. A source of at most ``rows`` rows is
-    sent to the tasks, a larger one is left to the planner. Clashing names get ``_x`` and ``_y``."""
+    """Every target row with every source row; this operator's meaning is the product. A source of at most ``rows`` rows and
+    ``BROADCAST_BYTES`` is sent to the tasks, a larger one is left to the planner. Clashing names get ``_x`` and ``_y``."""
     clash = set(targets.columns) & set(source.columns)
     t = targets.toDF(*[f"{c}_x" if c in clash else c for c in targets.columns])
     s = source.toDF(*[f"{c}_y" if c in clash else c for c in source.columns])
@@ -140,7 +145,9 @@ def find_replace(targets: DataFrame, lookup: DataFrame, field: str, find: str, r
     """Replace values of a field from a table, or append fields of the table's matching row.
 
     ``exact``: the whole value, by a join on the table reduced to one row per value. ``part``: every occurrence in the text,
-    longer ones first, for tables that were counted to be small. Nulls in the table match nothing."""
+    rule after rule, longer ones first, of equally long ones the smaller first; what a rule has put in is text for the next.
+    Any number of rules: beyond ``EXPRESSIONS`` they are read in blocks, each an automaton that finds the rules that apply,
+    and no text is shuffled. Nulls and empty texts in the table match nothing."""
     pairs = lookup.where(C.name(find).isNotNull())
     if mode == "exact":
         picks = [replace] if replace else list(append)
@@ -150,12 +157,71 @@ def find_replace(targets: DataFrame, lookup: DataFrame, field: str, find: str, r
             new = F.when(F.col("__find").isNotNull(), C.name(f"__{replace}")).otherwise(C.name(field))
             return joined.withColumn(field, new).select(*[C.name(c) for c in targets.columns])
         return joined.select(*[C.name(c) for c in targets.columns], *[C.name(f"__{c}").alias(c if c not in targets.columns else f"{c}_right") for c in picks])
-    if not small(pairs, 10_000):
-        raise ValueError("replacing parts of texts takes a table of at most 10000 rows")
-    rules = sorted({(r[0], r[1]) for r in pairs.select(C.name(find).cast("string"), C.name(replace).cast("string")).collect() if r[0]}, key=lambda r: (-len(r[0]), r))
-    c = C.name(field)
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules]) if rules else None
-    return targets.withColumn(field, F.aggregate(table, c, lambda text, r: F.replace(text, r["a"], F.coalesce(r["b"], F.lit(""))))) if rules else targets
+    rules = pairs.select(C.name(find).cast("string").alias("a"), F.coalesce(C.name(replace).cast("string"), F.lit("")).alias("b")).where("a <> ''").distinct()
+    in_order = rules.orderBy(F.length("a").desc(), "a", "b")
+    first = [(r["a"], r["b"]) for r in in_order.limit(EXPRESSIONS + 1).collect()]
+    if len(first) <= EXPRESSIONS:
+        if not first:
+            return targets
+        table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in first])
+        return targets.withColumn(field, F.aggregate(table, C.name(field).cast("string"), lambda text, r: F.replace(text, r["a"], r["b"])))
+    ship(targets.sparkSession)
+    held, size, blocks = [], 0, []
+    context = targets.sparkSession.sparkContext
+    for r in in_order.toLocalIterator():
+        held.append((r["a"], r["b"]))
+        size += len(r["a"]) + len(r["b"])
+        if size >= AUTOMATON_BYTES:
+            blocks.append(context.broadcast(held))
+            held, size = [], 0
+    if held:
+        blocks.append(context.broadcast(held))
+    return targets.withColumn(field, _automata(blocks)(C.name(field).cast("string")))
+
+
+class Rules:
+    """Replacements in order, each of all occurrences, as if one after the other; only those that occur cost time."""
+
+    def __init__(self, rules: Sequence[tuple[str, str]]) -> None:
+        import ahocorasick
+
+        self.rules = rules
+        self.found = ahocorasick.Automaton()
+        for i, (a, _) in enumerate(rules):
+            if a not in self.found:  # a second rule for a text finds nothing more, unless its own replacement brings it back
+                self.found.add_word(a, [])
+            self.found.get(a).append(i)
+        self.found.make_automaton()
+
+    def apply(self, text: str | None) -> str | None:
+        done = -1
+        while text:
+            following = [i for _, same in self.found.iter(text) for i in same if i > done]
+            if not following:
+                break
+            done = min(following)
+            text = text.replace(*self.rules[done])
+        return text
+
+
+#: Automata a worker keeps; of more blocks each is made again for every batch of texts.
+KEPT = 8
+
+
+def _automata(blocks: list):  # noqa: ANN202
+    """Block after block of the rules over a batch of texts."""
+    made: dict[int, Rules] = {}
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        for i, sent in enumerate(blocks):
+            rules = made.get(i) or Rules(sent.value)
+            if len(blocks) <= KEPT:
+                made[i] = rules
+            texts = texts.map(rules.apply, na_action="ignore")
+        return texts
+
+    return replaced
 
 
 def _texts(df: DataFrame, key: str, field: str) -> DataFrame:
@@ -163,30 +229,53 @@ def _texts(df: DataFrame, key: str, field: str) -> DataFrame:
     return df.select(C.name(key).alias("k"), F.lower(C.strip(C.name(field))).alias("t")).where("t is not null and t <> ''")
 
 
+def _pieces(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(band, gram, spot, at, id, n) of the texts (id, t, n) as the shorter and as the longer of two.
+
+    Lengths are divided into bands. In the band of the shorter text its pieces are of one size and one more than the edits
+    that the longest text it may be like allows, so one of them stands in that text, at most as many places away. The longer
+    text has all its grams of that size in each of the few bands of its possible partners: rows in proportion to its length."""
+    ratio = threshold**-0.5
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(ratio) + 1e-9).cast("int")
+    power = lambda b: F.pow(F.lit(ratio), b)
+    edits = F.floor(power(F.col("band") + 1) * ((1 - threshold) / threshold) + 1e-6).cast("int")
+    size = F.greatest(F.floor(power(F.col("band")) / (F.col("d") + 1) - 1e-9), F.lit(1)).cast("int")
+    width = 2 * F.col("d") + 1
+    gram = lambda at: F.struct(at.alias("at"), F.substring(F.col("t"), at + 1, F.col("q")).alias("gram"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("gram")))  # texts so short that all of them may be edited
+    short = texts.withColumn("band", band(F.col("n"))).withColumn("d", edits).withColumn("q", size)
+    own = F.when(F.col("n") < F.col("d") + 1, whole).otherwise(F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: gram(i * F.col("q"))))
+    short = short.select("band", F.explode(own).alias("g"), "d", "id", "n").select("band", "g.gram", F.floor(F.col("g.at") / width).cast("int").alias("spot"), "g.at", "id", "n")
+    least = F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(1)).cast("int")
+    long = texts.withColumn("band", F.explode(F.sequence(band(least), band(F.col("n"))))).withColumn("d", edits).withColumn("q", size)
+    grams = F.when(F.col("n") >= F.col("q"), F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q")), gram)).otherwise(F.array().cast("array<struct<at: int, gram: string>>"))
+    grams = F.when(power(F.col("band")) < F.col("d") + 1 + 1e-6, F.concat(whole, grams)).otherwise(grams)
+    long = long.select("band", F.explode(grams).alias("g"), "d", "id", "n")
+    at = F.col("g.at")
+    spots = F.array_distinct(F.array(F.floor((at - F.col("d")) / width).cast("int"), F.floor((at + F.col("d")) / width).cast("int")))
+    return short, long.select("band", "g.gram", F.explode(F.when(F.col("g.gram") == "", F.array(F.lit(0))).otherwise(spots)).alias("spot"), "g.at", "id", "n")
+
+
 def _alike(texts: DataFrame, threshold: float) -> DataFrame:
     """(t1, t2, score) of different texts of the column t, each pair once."""
-    sized = texts.select("t").distinct().withColumn("n", F.length("t"))
-    most = lambda n: F.floor(n * (1 - threshold) + 1e-9).cast("int")  # edits that a longer text of n characters allows
-    size = F.greatest(F.floor(F.col("m") / (F.col("d") + 1)), F.lit(1)).cast("int")
-    # m and n: lengths of the shorter and the longer text; the shorter is cut into d + 1 pieces, the longer read within d places
-    short = sized.select("t", F.col("n").alias("m"), F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))).alias("n"))
-    short = short.withColumn("d", most(F.col("n"))).withColumn("size", size)
-    short = short.select(F.col("t").alias("t1"), "m", "n", F.explode(F.expr("transform(sequence(0, d), i -> struct(i as i, substring(t, i * size + 1, size) as s))")).alias("x"))
-    shortest = F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(1)).cast("int")
-    long = sized.select("t", "n", F.explode(F.sequence(shortest, F.col("n"))).alias("m")).withColumn("d", most(F.col("n"))).withColumn("size", size)
-    long = long.select(F.col("t").alias("t2"), "m", "n", F.explode(F.expr("flatten(transform(sequence(0, d), i -> transform(sequence(greatest(i * size - d, 0), i * size + d), a -> struct(i as i, substring(t, a + 1, size) as s))))")).alias("x"))
-    pairs = short.select("t1", "m", "n", "x.i", "x.s").where("s <> ''").join(long.select("t2", "m", "n", "x.i", "x.s").where("s <> ''"), ["m", "n", "i", "s"])
-    pairs = pairs.where("t1 <> t2").select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), "n")
-    # verified before the shuffle of the duplicates: candidates are many, pairs few
-    pairs = pairs.withColumn("score", 1 - F.levenshtein("t1", "t2") / F.col("n")).where(F.col("score") >= threshold)
-    return pairs.select("t1", "t2", "score").dropDuplicates(["t1", "t2"])
+    sized = cut(texts.select("t").distinct().select(F.monotonically_increasing_id().alias("id"), "t", F.length("t").alias("n")))
+    short, long = _pieces(sized, threshold)
+    short = short.select("band", "gram", "spot", F.col("at").alias("at1"), F.col("id").alias("a"), F.col("n").alias("m"))
+    most = F.floor(F.col("n") * (1 - threshold) + 1e-9)
+    near = (F.col("gram") == "") | (F.abs(F.col("at") - F.col("at1")) <= most)
+    pairs = short.join(long, ["band", "gram", "spot"]).where((F.col("a") != F.col("id")) & (F.col("m") <= F.col("n")) & (F.col("n") - F.col("m") <= most) & near)
+    # only ids travel with the candidates
+    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    named = pairs.join(sized.select(F.col("id").alias("a"), F.col("t").alias("t1"), F.col("n").alias("n1")), "a").join(sized.select(F.col("id").alias("b"), F.col("t").alias("t2"), F.col("n").alias("n2")), "b")
+    score = 1 - F.levenshtein("t1", "t2") / F.greatest("n1", "n2")
+    return named.select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), score.alias("score")).where(F.col("score") >= threshold)
 
 
 def fuzzy_match(df: DataFrame, key: str, field: str, *, threshold: float = 0.8) -> DataFrame:
     """Pairs (id_left, id_right, score) of different texts that are alike: score is 1 - edit distance / longer length.
 
     Rows are blocked: texts at distance d share one of d + 1 pieces at nearly the same place, so candidates come from an
-    equi-join on pieces of texts of like length and no pair at or above the threshold is lost. Equal texts are one
+    equi-join on pieces of texts of like length and no pair at or above the threshold is lost (see ``_pieces``). Equal texts are one
     text here, named by the smallest of their keys: ``fuzzy_pairs`` has all rows, ``fuzzy_members`` who belongs to which text.
     """
     texts = _texts(df, key, field).groupBy("t").agg(F.min("k").alias("k"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -495,21 +496,36 @@ def _dynamic_rename(t: Task) -> dict:
 
 @builds("Dynamic Replace")
 def _dynamic_replace(t: Task) -> dict:
-    """Rules (field, condition, value), first match first; a rule that can't be read goes to Errors."""
-    rules = t.inputs[1].df.select([C.name(c).cast("string") for c in t.inputs[1].df.columns[:3]]).limit(10_001).collect()
-    if len(rules) > 10_000:
-        raise ValueError("more than 10000 rules")
-    made, bad = {}, []
-    ctx = C.context(t.one.df.schema)
-    for name, condition, value in rules:
+    """Rules (field, condition, value), first match first; a rule that can't be read goes to Errors. The rules are read in
+    blocks; one of a later block applies where none before did, its condition too is about the row as it came."""
+    rules = t.inputs[1].df.select([C.name(c).cast("string") for c in t.inputs[1].df.columns[:3]])
+    ctx, df, bad, fields = C.context(t.one.df.schema), t.one.df, [], []
+    made: dict[str, list[tuple[Column, Column]]] = {}
+
+    def applied() -> DataFrame:
+        new = {}
+        for name, found in made.items():
+            i = fields.index(name) if name in fields else len(fields)
+            before, done = (F.col(f"__new{i}"), F.col(f"__done{i}")) if name in fields else (C.name(name), F.lit(False))
+            if name not in fields:
+                fields.append(name)
+            value = F.when(done, before)
+            for test, v in found:
+                value = value.when(test, v)
+            new |= {f"__new{i}": value.otherwise(before), f"__done{i}": reduce(Column.__or__, [test for test, _ in found], done)}
+        made.clear()
+        return df.withColumns(new)
+
+    for k, (name, condition, value) in enumerate(rules.toLocalIterator(), 1):
         try:
-            test = C.truth(C.compile_text(condition, ctx))
-            new = F.lit(value).try_cast(t.one.df.schema[name].dataType)
+            pair = C.truth(C.compile_text(condition, ctx)), F.lit(value).try_cast(t.one.df.schema[name].dataType)
+            made.setdefault(name, []).append(pair)
         except (X.ExpressionError, KeyError, TypeError) as e:
             bad.append((name, condition, str(e)))
-            continue
-        made[name] = F.when(test, new) if name not in made else made[name].when(test, new)
-    df = t.one.df.withColumns({k: v.otherwise(C.name(k)) for k, v in made.items()}) if made else t.one.df
+        if k % 200 == 0:
+            df = applied()
+    df = applied() if made else df
+    df = df.select(*[F.col(f"__new{fields.index(c)}").alias(c) if c in fields else C.name(c) for c in t.one.df.columns])
     return {"Output": df, "Errors": t.spark.createDataFrame(bad, "field string, condition string, error string")}
 
 

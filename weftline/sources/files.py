@@ -109,14 +109,24 @@ def directory(spark: SparkSession, path: str, pattern: str = "*", recursive: boo
     return reader.load(path).select(F.col("path").alias("FullPath"), F.element_at(F.split("path", "/"), -1).alias("FileName"), F.col("length").alias("Size"), F.col("modificationTime").alias("LastWriteTime"))
 
 
-def dynamic_input(df: DataFrame, field: str, fmt: str = "parquet", limit: int = 100_000) -> DataFrame:
-    """The files named in a field as one frame with their names. The list of files, at most ``limit``, goes to the driver; their
-    rows don't."""
-    paths = [r[0] for r in df.select(C.name(field)).where(C.name(field).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(paths) > limit:
-        raise ValueError(f"more than {limit} files")
+def dynamic_input(df: DataFrame, field: str, fmt: str = "parquet", block: int = 10_000) -> DataFrame:
+    """The files named in a field as one frame with their names; a file that is named twice is read twice. The names go to the
+    driver, which plans the scans, in scans of ``block`` files; their rows don't."""
+    named = df.select(C.name(field).cast("string").alias("path")).where("path is not null").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     reader = df.sparkSession.read.option("header", True).option("inferSchema", True).options(**_QUOTES, multiLine=True) if fmt == "csv" else df.sparkSession.read
-    return reader.format(fmt).load(sorted(paths)).withColumn("FileName", F.col("_metadata.file_path"))
+    rounds: dict[int, list[str]] = {}
+    for r in named.toLocalIterator():
+        for k in range(r["n"]):
+            rounds.setdefault(k, []).append(r["path"])
+    out = None
+    for _, paths in sorted(rounds.items()):
+        paths.sort()
+        for at in range(0, len(paths), block):
+            one = reader.format(fmt).load(paths[at : at + block]).withColumn("FileName", F.col("_metadata.file_path"))
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no file is named")
+    return out
 
 
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
