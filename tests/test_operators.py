@@ -171,6 +171,51 @@ def _edits(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("order", [[("v", True), ("id", True)], [("v", False), ("id", False)]])
+def test_large_groups_are_spread(spark, monkeypatch, order):
+    """The same rows whether a group is one task or many."""
+    rng = random.Random(13)
+    data = [(i, rng.choice([None, "hot", "hot", "hot", "a", "b"]), rng.choice([None, *range(9)])) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, k string, v int").repartition(6)
+    monkeypatch.setattr(ordered, "HOT_ROWS", 10**9)
+    tools = {
+        "total": lambda: ordered.running_total(df, "v", ["k"], order), "rank": lambda: ordered.rank(df, "v", ["k"], "rank", order[0][1]), "dense": lambda: ordered.rank(df, "v", ["k"], "dense", order[0][1]),
+        "shift": lambda: ordered.multi_row_formula(df, "w", "[Row-2:id] * 1000 + [Row+1:id]", ["k"], order), "tile": lambda: ordered.tile(df, "id", 7, ["k"]), "sum": lambda: ordered.tile(df, "id", 5, ["k"], "equal_sum"),
+        **{m: (lambda m=m: ordered.sample(df, m, 7, 30, ["k"], order)) for m in ("first", "last", "skip", "one_in", "first_pct")},
+    }
+    want = {name: (make().columns, rows(make())) for name, make in tools.items()}
+    monkeypatch.setattr(ordered, "HOT_ROWS", 60)
+    for name, make in tools.items():
+        made = make()
+        assert (made.columns, rows(made)) == want[name], name
+    plan = ordered.running_total(df, "v", ["k"], order)._jdf.queryExecution().toString()
+    assert "__part" in plan
+
+
+def test_rows_beyond_the_partition(spark):
+    """Shifts over several partitions, empty ones among them, with and without an order."""
+    n = 60
+    df = spark.range(0, n, 1, 12).selectExpr("id", "id * id as q").where("id < 5 or id > 40")
+    ids = [i for i in range(n) if i < 5 or i > 40]
+    for order in ((), [("id", True)], [("id", False)]):
+        seen = ids if not order or order[0][1] else ids[::-1]
+        made = ordered.multi_row_formula(df, "w", "IIF(IsNull([Row-7:q]), 0 - 1, [Row-7:q])", (), order).withColumn("x", F.lit(1))
+        assert {r["id"]: r["w"] for r in made.collect()} == {x: (seen[i - 7] ** 2 if i >= 7 else -1) for i, x in enumerate(seen)}
+        after = ordered.multi_row_formula(df, "w", "[Row+1:id] - [Row-1:id]", (), order)
+        assert {r["id"]: r["w"] for r in after.collect()} == {x: (seen[i + 1] - seen[i - 1] if 0 < i < len(seen) - 1 else None) for i, x in enumerate(seen)}
+
+
+def test_own_results_of_many_rows(spark):
+    """Folded in pieces: the same whatever the length."""
+    df = spark.range(0, 2000, 1, 4).selectExpr("id", "id % 2 as k")
+    made = ordered.multi_row_formula(df, "t", "IIF(IsNull([Row-1:t]), 0, [Row-1:t]) + [id] % 7", ["k"], [("id", True)])
+    total, want = {0: 0, 1: 0}, {}
+    for i in range(2000):
+        total[i % 2] += i % 7
+        want[i] = total[i % 2]
+    assert {r["id"]: r["t"] for r in made.collect()} == want
+
+
 def test_sides_are_measured_before_they_are_sent(spark):
     wide = spark.range(100).selectExpr("id", "repeat('x', 200000) as t")
     assert joins.small(spark.range(100).toDF("a")) and not joins.small(wide) and not joins.small(spark.range(11).toDF("a"), rows=10) and joins.small(wide.limit(0))
