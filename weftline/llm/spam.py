@@ -58,7 +58,8 @@ _STAMP = re.compile(r"[\[(]?\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d(?::\d\d)?(?:[.,]\d+)
 _LOGGED = re.compile(r"\b(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|FATAL)\b|\w=\S")
 _RULE = re.compile(r"\|?(?:\s*:?-{3,}:?\s*\|)+(?:\s*:?-{3,}:?\s*)?$")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>")
-_OPERATOR = re.compile(r"[\[\]=<>(){}]|\bIF\b|\bTHEN\b|\bELSE\b")
+_SIGN = re.compile(r"[\[\]=<>(){}]")
+_BRANCH = re.compile(r"\b(?:IF|THEN|ELSE)\b")
 _SEPARATOR = re.compile("[,;|•·、，]\\s*(?=\\S)")
 
 
@@ -179,7 +180,9 @@ def page(text: str | None, limits: Limits) -> Page:
             if len(judged) <= 0.8 * len(s) and not s.lower().startswith(("<p", "<b", "<i", "<li", "<span", "<div", "<h")):
                 continue
         words = tokens(judged)
-        operators = len(_OPERATOR.findall(judged))
+        operators = len(_SIGN.findall(judged))
+        if "IF" in judged or "THEN" in judged or "ELSE" in judged:
+            operators += len(_BRANCH.findall(judged))
         if not words or (operators >= 2 and operators >= 0.2 * len(words)):
             continue
         # a comma or two make no list; short lines are items of one
