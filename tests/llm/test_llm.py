@@ -132,8 +132,8 @@ def test_leaks_of_rows(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash")).withColumn("distance", F.lit("clash"))
     items = spark.createDataFrame([(100, prompt), (100, prompt), (101, "short prompt"), (102, None), (103, ""), (104, prompt + " more")], "item_id bigint, prompt string")
-    for block in (500_000, 1):
-        found = sorted(tuple(r) for r in find_leaks(d, items, doc_id="doc_id", text="text", item_id="item_id", prompt="prompt", block_words=block).collect())
+    for sent in (1 << 20, 0):  # as an index, and as a frame behind a filter
+        found = sorted(tuple(r) for r in find_leaks(d, items, doc_id="doc_id", text="text", item_id="item_id", prompt="prompt", item_bytes=sent).collect())
         exact = [(a, b) for a, b, n in found if n == 0]
         assert sorted(set(exact)) == [(i, k) for i in (1, 2, 7, 8, 9) for k in (100, 104)] and exact.count((1, 100)) == 2
         assert {(a, b): n for a, b, n in found}[6, 100] == 1
@@ -141,6 +141,34 @@ def test_leaks_of_rows(spark):
     assert find_leaks(d.limit(0), items, doc_id="doc_id", text="text", item_id="item_id", prompt="prompt").count() == 0
 
 
+def test_many_items_are_found_in_one_scan(spark, monkeypatch):
+    """The same pairs and distances whether the items are sent or joined, also through a filter that is nearly full."""
+    from weftline.llm import leaks as m
+
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(5, 40)))) for i in range(80)]
+    docs = []
+    for i in range(60):
+        mine = rng.choices(vocabulary, k=30)
+        source = rng.choice(items)[1].split()
+        at = rng.randrange(len(source))
+        piece = source[at : at + 14]
+        if piece and rng.random() < 0.6:
+            piece[rng.randrange(len(piece))] = "edited"
+        docs.append((i, " ".join(mine[:15] + piece + mine[15:])))
+    d = spark.createDataFrame([*docs, (5, docs[5][1]), (99, None)], "doc_id bigint, text string").repartition(3)
+    it = spark.createDataFrame(items, "item_id int, prompt string")
+    run = lambda **k: sorted(map(tuple, find_leaks(d, it, doc_id="doc_id", text="text", item_id="item_id", prompt="prompt", **k).collect()))
+    want = run()
+    assert len(want) > 20 and {x[2] for x in want} == {0, 1}
+    for bits in (1 << 20, 1 << 10):
+        monkeypatch.setattr(m, "FILTER_BITS", bits)
+        assert run(item_bytes=0) == want
+    frame = find_leaks(d, it, doc_id="doc_id", text="text", item_id="item_id", prompt="prompt", item_bytes=0)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("text#") <= 8  # one branch reads the texts
+
+
 # --- spam -------------------------------------------------------------------------------------------
 
 TEXT = "The preview of the report is still waiting for the totals that we sent to the team before the holidays, and nobody knows why."
