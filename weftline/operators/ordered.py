@@ -217,6 +217,8 @@ def _neighbours(df: DataFrame, made: dict[str, X.Node], shifts: Sequence[int], g
     many as the shifts reach, so they are sent to all tasks. Of a group only rows of the same group are neighbours."""
     fields = list(dict.fromkeys(n.name for node in made.values() for n in X.walk(node) if isinstance(n, X.Field) and n.row and n.name in df.columns))
     rows = placed(df, [*((g, True) for g in group), *order] if group else order)
+    if not group and not order:  # else they are kept already; places must not change between the sides
+        rows = cut(rows)
     parts = rows.groupBy(_PART).agg(F.count(F.lit(1)).alias("__size"))
     parts = F.broadcast(_offsets(parts.withColumnRenamed("__size", "n"), "n").join(parts, _PART))
     rows = rows.join(parts, _PART).withColumn("__row", F.col("__before") + F.col(_AT)).withColumn("__f", F.struct(*[C.name(c) for c in dict.fromkeys([*fields, *group])]))
@@ -364,9 +366,12 @@ def unique(df: DataFrame, fields: Sequence[str] = (), order: Order = ()) -> dict
     if by is not None and all(not isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema):
         first = rows.groupBy(*keys).agg(F.min_by(F.struct(*[C.name(c) for c in df.columns], F.col(_PLACE)), by).alias("__first"))
         unique_rows = first.select("__first.*").drop(_PLACE)
-        on = rows[_PLACE] == F.col("__kept")
-        others = rows.join(first.select(F.col(f"__first.{_PLACE}").alias("__kept")), on, "left_anti").drop(_PLACE, _PART, _AT)
-        return {"Unique": unique_rows, "Duplicates": others}
+        names = list(fields or df.columns)
+        by_place = Window.partitionBy(*keys).orderBy(*sort_columns(order), F.col(_PLACE))
+        # numbered in one pass: places are not compared between two readings of the rows, which may come in another order
+        plain = lambda x: x.withColumn("__n", F.row_number().over(by_place)).drop(_PLACE, _PART, _AT)
+        numbers = _by_group(rows, names, plain, lambda x: _spread(x.drop(_PLACE, _PART, _AT), names, order))
+        return {"Unique": unique_rows, "Duplicates": numbers.where("__n > 1").drop("__n")}
     w = Window.partitionBy(*keys).orderBy(*sort_columns(order), F.col(_PLACE))
     ranked = rows.withColumn("__n", F.row_number().over(w))
     drop = ("__n", _PLACE, _PART, _AT)

@@ -18,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from weftline.functions import columns as C
 from weftline.functions import expression as X
-from weftline.operators import joins, ordered, parse, prepare, spatial, transform
+from weftline.operators import joins, ordered, parse, polygons, prepare, spatial, transform
 from weftline.operators.ordered import Order
 from weftline.operators.prepare import Choice
 from weftline.operators.transform import Action
@@ -782,6 +782,53 @@ def _nearest(t: Task) -> dict:
     return spatial.find_nearest(t.inputs[0].df, t.inputs[1].df, c.text("TargetKey"), c.text("TargetField"), c.text("UniverseKey"), c.text("UniverseField"), c.number("MaxDistance", default=100))
 
 
+@builds("Buffer")
+def _buffer(t: Task) -> dict:
+    return {"Output": polygons.buffer(t.one.df, t.config.text("SpatialField", "Field"), t.config.number("Distance", "BufferSize", default=1.0))}
+
+
+@builds("Trade Area")
+def _trade_area(t: Task) -> dict:
+    radii = [float(r) for r in re.findall(r"[0-9.]+", t.config.text("Radii", "Radius", default="1"))]
+    return {"Output": polygons.trade_area(t.one.df, t.config.text("SpatialField", "Field"), radii)}
+
+
+@builds("Poly-Build")
+def _poly_build(t: Task) -> dict:
+    order = [(n, True) for n in _known(t.one, [t.config.text("SequenceField")], t)] if t.config.text("SequenceField") else t.one.order
+    return {"Output": polygons.poly_build(t.one.df, t.config.text("SpatialField", "SourceField", "Field"), _known(t.one, _groups(t.config), t), order)}
+
+
+@builds("Poly-Split")
+def _poly_split(t: Task) -> dict:
+    return {"Output": polygons.poly_split(t.one.df, t.config.text("SpatialField", "Field"))}
+
+
+@builds("Smooth")
+def _smooth(t: Task) -> dict:
+    return {"Output": Stream(polygons.smooth(t.one.df, t.config.text("SpatialField", "Field"), int(t.config.number("Iterations", default=2))), t.one.order, t.one.origins)}
+
+
+@builds("Generalize")
+def _generalize(t: Task) -> dict:
+    return {"Output": Stream(polygons.generalize(t.one.df, t.config.text("SpatialField", "Field"), t.config.number("Threshold", "Tolerance", default=0.01)), t.one.order, t.one.origins)}
+
+
+@builds("Spatial Info")
+def _spatial_info(t: Task) -> dict:
+    return {"Output": polygons.spatial_info(t.one.df, t.config.text("SpatialField", "Field"))}
+
+
+@builds("Spatial Match")
+def _spatial_match(t: Task) -> dict:
+    return polygons.spatial_match(t.inputs[0].df, t.inputs[1].df, t.config.text("TargetField"), t.config.text("UniverseField"))
+
+
+@builds("Spatial Process")
+def _spatial_process(t: Task) -> dict:
+    return {"Output": polygons.spatial_process(t.one.df, t.config.text("SpatialField1", "Field1"), t.config.text("SpatialField2", "Field2"), (t.config.text("Action", default="combine")).lower())}
+
+
 def register(name: str, build: Callable[[Task], dict], *, category: str = "Extension", inputs: tuple[str, ...] = ("Input",), outputs: tuple[str, ...] = ("Output",), aliases: tuple[str, ...] = ()) -> None:
     """Add a tool, or replace one: ``build`` takes a ``Task`` and gives frames or streams by anchor. It is found by its name and
     aliases, as by the last part of a plugin's name."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import joins, ordered, parse, prepare, spatial, transform
+from weftline.operators import joins, ordered, parse, polygons, prepare, spatial, transform
 from weftline.operators.prepare import Choice
 from weftline.operators.transform import Action
 from weftline.session import table as T
@@ -610,6 +610,105 @@ def find_nearest_apart(s: SparkSession, d: str) -> DataFrame:
     return _r(out.drop("p"), "DistanceKm")
 
 
+@query("""with p as (select (s_suppkey * 37 % 3600) / 10.0 - 180 as x, (s_suppkey * 53 % 1600) / 10.0 - 80 as y from supplier)
+select floor(x / 7.5)::bigint as cell_x, floor(y / 7.5)::bigint as cell_y, count(*)::bigint as n from p group by 1, 2""")
+def heat_map(s: SparkSession, d: str) -> DataFrame:
+    return spatial.heat_map(_points(s, d, "supplier", "s_suppkey"), "p", 7.5)
+
+
+@query("""with p as (select (s_suppkey * 37 % 3600) / 10.0 - 180 as x, (s_suppkey * 53 % 1600) / 10.0 - 80 as y from supplier),
+e as (select floor(min(x) / 7.5)::bigint as x0, floor(max(x) / 7.5)::bigint as x1, floor(min(y) / 7.5)::bigint as y0, floor(max(y) / 7.5)::bigint as y1 from p),
+xs as (select unnest(range(x0, x1 + 1)) as cell_x from e), ys as (select unnest(range(y0, y1 + 1)) as cell_y from e)
+select cell_x, cell_y, (cell_x * 7.5)::double as lon, (cell_y * 7.5)::double as lat from xs, ys""")
+def make_grid(s: SparkSession, d: str) -> DataFrame:
+    return spatial.make_grid(_points(s, d, "supplier", "s_suppkey"), "p", 7.5)
+
+
+@query("select s_suppkey, 36 as corners, 25.0::double as least, 25.0::double as most from supplier")
+def buffer(s: SparkSession, d: str) -> DataFrame:
+    """All corners of the polygon are as far away as asked."""
+    df = polygons.buffer(_points(s, d, "supplier", "s_suppkey"), "p", 25)
+    far = F.transform(F.col("Buffer")[0], lambda q: F.round(spatial.haversine(F.col("p"), q), 6))
+    return df.select("s_suppkey", F.size(far).alias("corners"), F.array_min(far).alias("least"), F.array_max(far).alias("most"))
+
+
+# sines of the sphere's caps: an area between two circles is as large as the difference of its caps, less what 720 corners cut off
+@query("""select s_suppkey, r as "Radius", (case when r = 10.0 then 1 else 2 end)::int as rings, round(2 * pi() * pow(6371.0088, 2) * (cos(coalesce(q, 0) / 6371.0088) - cos(r / 6371.0088)), 0) as km2
+from supplier, (values (10.0::double, null::double), (30.0, 10.0), (45.0, 30.0)) t(r, q)""")
+def trade_area(s: SparkSession, d: str) -> DataFrame:
+    df = polygons.trade_area(_points(s, d, "supplier", "s_suppkey").withColumn("p", F.struct(F.col("p.lon"), (F.col("p.lat") / 2).alias("lat"))), "p", [30, 10, 45], corners=720)
+    return df.select("s_suppkey", "Radius", F.size("TradeArea").alias("rings"), F.round(polygons.area(F.col("TradeArea")), 0).alias("km2"))
+
+
+_DIAMOND = "(select s_suppkey, (s_suppkey * 37 % 3600) / 10.0 - 180 + 0.0123 as x, (s_suppkey * 53 % 1400) / 10.0 - 70 + 0.0171 as y, 0.3 + s_suppkey % 7 * s_suppkey % 11 as r from supplier)"
+
+
+def _diamonds(s: SparkSession, d: str) -> DataFrame:
+    df = T(s, d, "supplier").select("s_suppkey", F.expr("(s_suppkey * 37 % 3600) / 10.0 - 180 + 0.0123").alias("x"), F.expr("(s_suppkey * 53 % 1400) / 10.0 - 70 + 0.0171").alias("y"), F.expr("0.3 + s_suppkey % 7 * s_suppkey % 11").alias("r"))
+    corner = lambda dx, dy: F.struct((F.col("x") + dx * F.col("r")).cast("double").alias("lon"), (F.col("y") + dy * F.col("r")).cast("double").alias("lat"))
+    return df.select("s_suppkey", F.array(F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1))).alias("area"))
+
+
+@query(f"select c_custkey, s_suppkey from (select c_custkey, (c_custkey * 37 % 3600) / 10.0 - 180 as px, (c_custkey * 53 % 1600) / 10.0 - 80 as py from customer), {_DIAMOND} where abs(px - x) + abs(py - y) < r")
+def spatial_match(s: SparkSession, d: str) -> DataFrame:
+    """Points in polygons from a third of a degree to more than ten in size."""
+    return polygons.spatial_match(_points(s, d, "customer", "c_custkey"), _diamonds(s, d), "p", "area")["Matched"].select("c_custkey", "s_suppkey")
+
+
+@query(f"select c_custkey from (select c_custkey, (c_custkey * 37 % 3600) / 10.0 - 180 as px, (c_custkey * 53 % 1600) / 10.0 - 80 as py from customer) where not exists (select 1 from {_DIAMOND} where abs(px - x) + abs(py - y) < r)")
+def spatial_match_none(s: SparkSession, d: str) -> DataFrame:
+    return polygons.spatial_match(_points(s, d, "customer", "c_custkey"), _diamonds(s, d), "p", "area")["Unmatched"].select("c_custkey")
+
+
+# boxes along parallels and meridians, whose areas are known exactly
+@query("""select s_suppkey, round(pow(6371.0088, 2) * radians(w) * (sin(radians(y + h)) - sin(radians(y))), 3) as "AreaKm2", round(x, 6)::double as "MinLon", round(y + h, 6)::double as "MaxLat", round(x + w / 2, 6)::double as lon, round(y + h / 2, 6)::double as lat, 4 as "Points"
+from (select s_suppkey, ((s_suppkey * 37 % 3000) / 10.0 - 170)::double as x, ((s_suppkey * 53 % 1400) / 10.0 - 80)::double as y, (1 + s_suppkey % 5)::double as w, (1 + s_suppkey % 3)::double as h from supplier)""")
+def spatial_info(s: SparkSession, d: str) -> DataFrame:
+    df = T(s, d, "supplier").select("s_suppkey", F.expr("(s_suppkey * 37 % 3000) / 10.0 - 170").alias("x"), F.expr("(s_suppkey * 53 % 1400) / 10.0 - 80").alias("y"), F.expr("1 + s_suppkey % 5").alias("w"), F.expr("1 + s_suppkey % 3").alias("h"))
+    corner = lambda a, b: F.struct((F.col("x") + a * F.col("w")).cast("double").alias("lon"), (F.col("y") + b * F.col("h")).cast("double").alias("lat"))
+    made = polygons.spatial_info(df.withColumn("box", F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))), "box")
+    return made.select("s_suppkey", F.round("AreaKm2", 3).alias("AreaKm2"), F.round("MinLon", 6).alias("MinLon"), F.round("MaxLat", 6).alias("MaxLat"), F.round("Center.lon", 6).alias("lon"), F.round("Center.lat", 6).alias("lat"), "Points")
+
+
+_STOPS = "(select o_custkey, (o_orderkey % 360 - 180)::double as x, (o_orderkey * 7 % 170 - 85)::double as y, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as i, count(*) over (partition by o_custkey) as n from orders)"
+
+
+def _tours(s: SparkSession, d: str) -> DataFrame:
+    df = spatial.create_points(T(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.expr("o_orderkey % 360 - 180").alias("x"), F.expr("o_orderkey * 7 % 170 - 85").alias("y")), "x", "y", "p")
+    return polygons.poly_build(df, "p", ["o_custkey"], [("o_orderdate", False), ("o_orderkey", True)])
+
+
+@query(f"select o_custkey, i::int as \"Place\", x as lon, y as lat from {_STOPS} where n > 2")
+def poly_build(s: SparkSession, d: str) -> DataFrame:
+    """Points to polygons in the order of dates, and apart again."""
+    return polygons.poly_split(_tours(s, d), "Polygon").select("o_custkey", "Place", "Point.lon", "Point.lat")
+
+
+@query(f"""with e as (select o_custkey, i, x, y, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from {_STOPS} where n > 2 window w as (partition by o_custkey order by i))
+select o_custkey, (2 * i - 1)::int as "Place", x * 0.75 + x1 * 0.25 as lon, y * 0.75 + y1 * 0.25 as lat from e union all select o_custkey, (2 * i)::int, x * 0.25 + x1 * 0.75, y * 0.25 + y1 * 0.75 from e""")
+def smooth(s: SparkSession, d: str) -> DataFrame:
+    return polygons.poly_split(polygons.smooth(_tours(s, d), "Polygon", 1), "Polygon").select("o_custkey", "Place", "Point.lon", "Point.lat")
+
+
+@query(f"select s_suppkey, k::int as \"Place\", round(x + dx * r, 6)::double as lon, round(y + dy * r, 6)::double as lat from {_DIAMOND}, (values (1, 1, 0), (2, 0, 1), (3, -1, 0), (4, 0, -1)) t(k, dx, dy)")
+def generalize(s: SparkSession, d: str) -> DataFrame:
+    """Points on the edges are left out again, the corners are kept."""
+    middle = lambda e: F.struct(*[((e["a"][k] + e["b"][k]) / 2).alias(k) for k in ("lon", "lat")])
+    more = F.transform("area", lambda ring: F.flatten(F.transform(polygons._next(ring), lambda e: F.array(e["a"], middle(e)))))
+    out = polygons.poly_split(polygons.generalize(_diamonds(s, d).withColumn("area", more), "area", 1e-6), "area")
+    return out.select("s_suppkey", "Place", F.round("Point.lon", 6).alias("lon"), F.round("Point.lat", 6).alias("lat"))
+
+
+@query("""select s_suppkey, case when a < 1 then round((1 - a) * (1 - b), 9) end as common from (select s_suppkey, s_suppkey % 13 / 8.0 as a, s_suppkey % 7 / 8.0 as b from supplier)""")
+def spatial_process(s: SparkSession, d: str) -> DataFrame:
+    """Unit squares, one of them moved: what they have in common, in square degrees."""
+    df = T(s, d, "supplier").select("s_suppkey", F.expr("s_suppkey % 13 / 8.0D").alias("a"), F.expr("s_suppkey % 7 / 8.0D").alias("b"))
+    square = lambda x, y: F.array(F.array(*[F.struct((x + i).alias("lon"), (y + j).alias("lat")) for i, j in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]))
+    made = polygons.spatial_process(df.withColumn("one", square(F.lit(0.0), F.lit(0.0))).withColumn("two", square(F.col("a"), F.col("b"))), "one", "two", "intersect")
+    plane = F.aggregate(polygons._next(F.col("Processed")[0]), F.lit(0.0), lambda t, e: t + e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]) / 2
+    return made.select("s_suppkey", F.round(plane, 9).alias("common"))
+
+
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
