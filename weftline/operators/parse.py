@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import columns as C
+from weftline.operators import ordered as O
 from weftline.session import ship
 
 
@@ -113,11 +114,16 @@ def json_parse(df: DataFrame, field: str, *, name: str = "JSON_Name", value: str
     return df.select(*[C.name(f.name) for f in kept], C.name(field).cast("string")).mapInArrow(run, out)
 
 
-def json_build(df: DataFrame, out: str = "JSON", group: Sequence[str] = ()) -> DataFrame:
-    """The rows, or those of each group, as one JSON array of records, nulls kept."""
+def json_build(df: DataFrame, out: str = "JSON", group: Sequence[str] = (), order: O.Order = ()) -> DataFrame:
+    """The rows, or those of each group, as one JSON array of records in their order, nulls kept. One text is made by one task,
+    as it is one value."""
+    from weftline.operators.transform import row_order
+
     fields = [c for c in df.columns if c not in group]
-    made = F.to_json(F.collect_list(F.struct(*[C.name(c) for c in fields])), {"ignoreNullFields": "false"}).alias(out)
-    return df.groupBy(*[C.name(g) for g in group]).agg(made) if group else df.agg(made)
+    rows, by = row_order(df, order)
+    items = F.sort_array(F.collect_list(F.struct(by.alias("by"), F.struct(*[C.name(c) for c in fields]).alias("record"))))
+    made = F.to_json(F.transform(items, lambda x: x["record"]), {"ignoreNullFields": "false"}).alias(out)
+    return rows.groupBy(*[C.name(g) for g in group]).agg(made) if group else rows.agg(made)
 
 
 def xml_parse(df: DataFrame, field: str, paths: dict[str, str], *, rows: str | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ _ACTIONS: dict[str, Callable[[Column, Column], Column]] = {
 _ORDERED = frozenset(("first", "last", "concat"))
 
 
-def _row_order(df: DataFrame, order: O.Order) -> tuple[DataFrame, Column]:
+def row_order(df: DataFrame, order: O.Order) -> tuple[DataFrame, Column]:
     """Rows with their place in the source, and the column that orders them by ``order`` and then by that."""
     order = [(c, up) for c, up in order if c in df.columns]
     df = df.withColumn("__at", F.monotonically_increasing_id())
@@ -111,7 +111,7 @@ def summarize(df: DataFrame, actions: Sequence[Action], order: O.Order = (), *,
         df = _with_keys(df, [k.field for k in keys])
     by = F.lit(0)
     if any(a.action.lower() in _ORDERED for a in rest):
-        df, by = _row_order(df, order)
+        df, by = row_order(df, order)
     by_key = [C.name(k.field).alias(f"__k{i}") for i, k in enumerate(keys)]
     made = None
     for part in _passes(rest):
@@ -173,7 +173,7 @@ def cross_tab(df: DataFrame, group: Sequence[str], header: str, data: str, metho
     by = F.lit(0)
     df = _with_keys(df, [*group, header])
     if how in _ORDERED:
-        df, by = _row_order(df, order)
+        df, by = row_order(df, order)
     rows = df.select(*[C.name(g) for g in group], C.name(header).cast("string").alias("__h"), c.alias("__d"), by.alias("__by"))
     by = F.col("__by")
     if values is None:

@@ -689,7 +689,7 @@ def _json_parse(t: Task) -> dict:
 
 @builds("JSON Build")
 def _json_build(t: Task) -> dict:
-    return {"Output": parse.json_build(t.one.df, group=_known(t.one, _groups(t.config), t))}
+    return {"Output": parse.json_build(t.one.df, group=_known(t.one, _groups(t.config), t), order=t.one.order)}
 
 
 @builds("XML Parse")

@@ -195,7 +195,7 @@ def dynamic_rename(s: SparkSession, d: str) -> DataFrame:
     return prepare.dynamic_rename(T(s, d, "region").withColumnRenamed("r_name", " r_name "), prefix="x_")
 
 
-@query()
+@query("select * from (values ('l_orderkey', 'bigint'), ('l_partkey', 'bigint'), ('l_suppkey', 'bigint'), ('l_linenumber', 'int'), ('l_quantity', 'double'), ('l_extendedprice', 'double'), ('l_discount', 'double'), ('l_tax', 'double'), ('l_returnflag', 'string'), ('l_linestatus', 'string'), ('l_shipdate', 'timestamp_ntz')) t(Name, Type)")
 def field_info(s: SparkSession, d: str) -> DataFrame:
     return prepare.field_info(T(s, d, "lineitem"))
 
@@ -238,23 +238,35 @@ def sample_grouped(s: SparkSession, d: str) -> DataFrame:
     return ordered.sample(T(s, d, "orders").select("o_custkey", "o_orderkey"), "first", 2, group=["o_custkey"], order=[("o_orderkey", True)])
 
 
-@query("select round(count(*) * 0.1)::bigint as n, count(*) > 0 as seen from orders")
+@query("select round(count(*) * 0.1)::bigint as n, round(count(*) * 0.1)::bigint as keys, round(count(*) * 0.1)::bigint as same from orders")
 def sample_random_percent(s: SparkSession, d: str) -> DataFrame:
-    """The size is exact; which rows come is up to the seed."""
-    return ordered.sample(T(s, d, "orders"), "random_pct", pct=10).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 0).alias("seen"))
+    """The size is exact, no row comes twice, and all are rows of the table; which come is up to the seed."""
+    return _drawn(s, d, ordered.sample(T(s, d, "orders"), "random_pct", pct=10))
 
 
-@query()
+def _drawn(s: SparkSession, d: str, drawn: DataFrame) -> DataFrame:
+    whole = T(s, d, "orders")
+    rows = drawn.withColumn("drawn", F.lit(1)).join(whole, whole.columns, "inner")
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys")).crossJoin(rows.agg(F.sum("drawn").alias("same")))
+
+
+@query("select true as as_many, true as different, true as same")
 def random_percent(s: SparkSession, d: str) -> DataFrame:
-    return ordered.random_percent(T(s, d, "orders"))
+    """Every row with a chance of 10 %: as many as six standard deviations allow, none twice, all of the table."""
+    n = T(s, d, "orders").count()
+    c = F.col("n").between(n * 0.1 - 6 * (n * 0.09) ** 0.5, n * 0.1 + 6 * (n * 0.09) ** 0.5)
+    return _drawn(s, d, ordered.random_percent(T(s, d, "orders"))).select(c.alias("as_many"), (F.col("keys") == F.col("n")).alias("different"), (F.col("same") == F.col("n")).alias("same"))
 
 
-@query("select count(*)::bigint as n, count(distinct o_orderkey)::bigint as keys from orders")
+@query("select *, true as as_large from (select o_orderkey, o_totalprice from orders)")
 def create_samples(s: SparkSession, d: str) -> DataFrame:
-    """The three parts are disjoint and make up the whole."""
-    parts = ordered.create_samples(T(s, d, "orders").select("o_orderkey"))
-    whole = joins.union(list(parts.values()))
-    return whole.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    """The three parts are disjoint, make up the whole, and are about as large as asked."""
+    parts = ordered.create_samples(T(s, d, "orders").select("o_orderkey", "o_totalprice"))
+    whole = joins.union([df.withColumn("part", F.lit(k)) for k, df in parts.items()])
+    asked = F.create_map(*[F.lit(x) for kv in (("Estimation", 0.6), ("Validation", 0.2), ("Holdout", 0.2)) for x in kv])
+    n = T(s, d, "orders").count()
+    sizes = whole.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.bool_and(F.abs(F.col("n") / n - asked[F.col("part")]) < 3 / n**0.5).alias("as_large"))
+    return whole.drop("part").crossJoin(sizes)
 
 
 @query("select (row_number() over (order by o_orderkey) + 99)::bigint as id, o_orderkey from orders")
@@ -313,23 +325,25 @@ def duplicates(s: SparkSession, d: str) -> DataFrame:
 # --- joins and unions -------------------------------------------------------------------------------
 
 
-def _big(s: SparkSession, d: str) -> DataFrame:
-    return T(s, d, "orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey", "o_totalprice")
+def _orders(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("select c_custkey, c_name, o_orderkey, o_custkey, o_totalprice from customer join orders on c_custkey = o_custkey where o_totalprice > 200000")
+@query("select c_custkey, c_name, o_orderkey, o_custkey, o_totalprice from customer join orders on c_custkey = o_custkey")
 def join_inner(s: SparkSession, d: str) -> DataFrame:
-    return joins.join(T(s, d, "customer").select("c_custkey", "c_name"), _big(s, d), [("c_custkey", "o_custkey")])["Join"]
+    return joins.join(T(s, d, "customer").select("c_custkey", "c_name"), _orders(s, d), [("c_custkey", "o_custkey")])["Join"]
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 200000)")
+@query("select cust_id, name from customer_profiles where cust_id is null or cust_id not in (select cust_id from primary_transactions where cust_id is not null)")
 def join_left_only(s: SparkSession, d: str) -> DataFrame:
-    return joins.join(T(s, d, "customer").select("c_custkey", "c_name"), _big(s, d), [("c_custkey", "o_custkey")])["Left"]
+    """Nulls match nulls: those of the left are left over only if the right has none."""
+    right = T(s, d, "primary_transactions").where("cust_id is not null")
+    return joins.join(T(s, d, "customer_profiles").select("cust_id", "name"), right, [("cust_id", "cust_id")])["Left"]
 
 
-@query("select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 200000 and o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+@query("select txn_id, cust_id from primary_transactions t where not exists (select 1 from customer_profiles p where p.cust_id is not distinct from t.cust_id)")
 def join_right_only(s: SparkSession, d: str) -> DataFrame:
-    return joins.join(T(s, d, "customer").where("c_acctbal > 0"), _big(s, d), [("c_custkey", "o_custkey")])["Right"]
+    return joins.join(T(s, d, "customer_profiles"), T(s, d, "primary_transactions").select("txn_id", "cust_id"), [("cust_id", "cust_id")])["Right"]
 
 
 @query("""with a as (select channel as k, count(*)::bigint as n from primary_transactions group by 1), b as (select channel as k, max(txn_id) as n from primary_transactions group by 1)
@@ -347,12 +361,12 @@ def join_by_position(s: SparkSession, d: str) -> DataFrame:
     return joins.join_by_position(T(s, d, "supplier").select("s_suppkey"), T(s, d, "nation").select("n_nationkey", "n_name"), [("s_suppkey", True)], [("n_nationkey", True)])["Join"].drop("n_nationkey")
 
 
-@query("""select coalesce(a.k, b.k, c.k) as k, a.n_customers, b.n_suppliers, c.n_name from (select c_nationkey as k, count(*)::bigint as n_customers from customer where c_nationkey < 15 group by 1) a
-full join (select s_nationkey as k, count(*)::bigint as n_suppliers from supplier where s_nationkey > 5 group by 1) b on a.k = b.k
+@query("""select coalesce(a.k, b.k, c.k) as k, a.n_customers, b.n_suppliers, c.n_name from (select c_nationkey as k, count(*)::bigint as n_customers from customer group by 1) a
+full join (select s_nationkey * 2 as k, count(*)::bigint as n_suppliers from supplier group by 1) b on a.k = b.k
 full join (select n_nationkey as k, n_name from nation) c on coalesce(a.k, b.k) = c.k""")
 def join_multiple(s: SparkSession, d: str) -> DataFrame:
-    a = T(s, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_customers"))
-    b = T(s, d, "supplier").where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_suppliers"))
+    a = T(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_customers"))
+    b = T(s, d, "supplier").groupBy((F.col("s_nationkey") * 2).alias("k")).agg(F.count(F.lit(1)).alias("n_suppliers"))
     c = T(s, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
     return joins.join_multiple([a, b, c])
 
