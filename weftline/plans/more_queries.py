@@ -78,7 +78,7 @@ def sink_parquet(s: SparkSession, d: str) -> DataFrame:
 
 @query(_PROFILES_SQL)
 def sink_yxdb(s: SparkSession, d: str) -> DataFrame:
-    """The format that is not built becomes parquet; it is read from the file next to the named one."""
+    """The format that is not built becomes parquet."""
     folder = _folder(s, "sink")
     files.write(_profiles(s, d), files.locate(f"{folder}/out.yxdb"))
     return files.read(s, files.locate(f"{folder}/out.yxdb"))
@@ -284,13 +284,7 @@ def flow_edges(s: SparkSession, d: str) -> DataFrame:
 def stream_of_events(s: SparkSession, d: str) -> DataFrame:
     """The rows of a stream, taken in micro-batches, come to the same sums as a table."""
     out = f"{_folder(s, 'stream')}/rows.parquet"
-    rows = streams.read_files(s, f"{d}/events.parquet" if files_in(s, f"{d}/events.parquet") else d, T(s, d, "events").schema)
+    rows = streams.read_files(s, f"{d}/events.parquet*", T(s, d, "events").schema)
     done = streams.run(rows.where("event_id is not null"), lambda batch, _: batch.write.mode("append").parquet(out), f"events-{uuid.uuid4().hex}")
     done.awaitTermination()
     return s.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-
-
-def files_in(s: SparkSession, path: str) -> bool:
-    """Whether the path is a folder of files."""
-    hadoop = s._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(hadoop.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory())

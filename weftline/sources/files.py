@@ -65,21 +65,23 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(C.name(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats}) if floats else df
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Where the session looks for files, not only on the driver's disk."""
+def _found(spark: SparkSession, path: str) -> str | None:
+    """``file`` or ``folder``, where the session looks for files and not only on the driver's disk."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return None if not files.exists(at) else "folder" if files.getFileStatus(at).isDirectory() else "file"
 
 
 def read(spark: SparkSession, at: Location, *, schema: T.StructType | str | None = None, limit: int | None = None, delimiter: str = ",", header: bool = True, base: str = "", splittable: bool = False) -> DataFrame:
     """A lazy frame of the file. Csv types are inferred unless a schema is given; a limit of 0 or None is none. yxdb files are
-    read from the parquet or csv file next to them. A csv file is read by one task, as quoted values may have line breaks;
+    read from the parquet or csv file next to them, or from the folder that ``write`` makes. A csv file is read by one task, as quoted values may have line breaks;
     ``splittable`` divides it where there are none."""
     path = at.path if not base or "://" in at.path or os.path.isabs(at.path) else os.path.join(base, at.path)
     kind = at.format
     if kind == "yxdb":
         stem = path.rsplit(".", 1)[0]
-        kind, path = ("parquet", f"{stem}.parquet") if _exists(spark, f"{stem}.parquet") else ("csv", f"{stem}.csv")
+        # a folder is what ``write`` has made of one; the format itself is not read
+        kind, path = ("parquet", path) if _found(spark, path) == "folder" else ("parquet", f"{stem}.parquet") if _found(spark, f"{stem}.parquet") else ("csv", f"{stem}.csv")
     if kind == "csv":
         reader = spark.read.option("header", header).option("sep", delimiter).options(**_QUOTES, multiLine=not splittable)
         df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
@@ -141,9 +143,8 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
 
 
 def write(df: DataFrame, at: Location, *, mode: str = "overwrite", limit: int | None = None, single_file: bool = False, json_array: bool = False, partition_by: Sequence[str] = (), base: str = "") -> None:
-    """Write the frame: a folder of part files, or one part with ``single_file``. yxdb becomes a parquet file of the same name."""
+    """Write the frame: a folder of part files, or one part with ``single_file``. yxdb becomes parquet."""
     path = at.path if not base or "://" in at.path or os.path.isabs(at.path) else os.path.join(base, at.path)
-    path = f"{path[: -len('.yxdb')]}.parquet" if at.format == "yxdb" and path.lower().endswith(".yxdb") else path
     df = df.limit(limit) if limit else df
     if at.format == "xlsx":
         try:
