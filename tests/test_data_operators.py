@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from datetime import date, datetime
 from functools import reduce
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,6 +216,32 @@ def test_orphans(spark):
     assert find_orphans([References("t", r.limit(0), "id", "w", ("k",), "at")], Parents(p, "w", "k", "at")).count() == 0
 
 
+def test_parts_of_flattened_texts(spark, monkeypatch):
+    """The same rows in parts of any size; a record whose paths are long together comes in many."""
+    from weftline.operators import flatten as m
+
+    deep = "<r>" + "<abcdefgh>" * 1500 + "</abcdefgh>" * 1500 + "</r>"
+    texts = ["<a><b/><b><c/></b></a>", None, "", "<a>", deep, "<a/>"] * 2
+    want = []
+    for size in (m.DECODED, 30):
+        monkeypatch.setattr(m, "DECODED", size)
+        monkeypatch.setattr(m, "SENT", size)
+        column = pa.array(texts)
+        made, parts = [], 0
+        for first, behind in m._together(column):
+            nodes = m.Nodes()
+            m.read_xml(column.slice(first, behind - first).to_pylist(), nodes)
+            if len(nodes):
+                for path, up, record in m._in_parts(m.paths_of(nodes, xml=True)):
+                    parts += 1
+                    made += zip((record + first).tolist(), path.to_pylist(), up.to_pylist(), strict=True)
+        want.append(sorted(made))
+        assert parts > 1000 if size == 30 else parts < 6
+    assert want[0] == want[1] and len(want[0]) == 2 * (4 + 1501 + 1)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id bigint, x string").repartition(2)
+    assert flatten_texts(df, "id", {"xml": ("x", "xml")}).count() == 3012
+
+
 # --- hierarchies ------------------------------------------------------------------------------------
 
 

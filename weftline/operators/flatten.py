@@ -6,7 +6,8 @@ index, tag code, place) and from there on handled column-wise: sibling places by
 take through the record index. ``explode_arrays`` does the same for columns that are nested already,
 straight from Arrow's list offsets.
 
-Scale: one pass over the scan without any shuffle; memory is bounded by the Arrow batch.
+Scale: one pass over the scan without any shuffle. Texts are decoded and rows are sent in parts of bounded size, and of
+the paths of a part one level is kept, so the memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -217,35 +218,74 @@ def sibling_places(parent: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths_of(nodes: Nodes, *, xml: bool) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """(path, parent path, record index), ordered by depth. Every level takes its parents' paths by index."""
+#: Characters of the texts that are decoded together, and bytes of the paths that are sent together.
+DECODED, SENT = 8 << 20, 16 << 20
+
+
+def paths_of(nodes: Nodes, *, xml: bool) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(path, parent path, record index) of the levels from the top. Every level takes its parents' paths by index, and only
+    one level is kept: the paths of deep records together are as long as the square of their depth."""
     parent = np.asarray(nodes.parent, np.int64)
     depth = np.asarray(nodes.depth, np.int64)
+    records = np.asarray(nodes.record, np.int64)
     order = np.argsort(depth, kind="stable")
-    labels = pa.array(nodes.label, pa.string())
+    labels = pa.array(nodes.label, pa.large_string())
     if xml:
         coded = labels.dictionary_encode()
         places = sibling_places(parent + 1, np.asarray(coded.indices, np.int64))
-        labels = pc.binary_join_element_wise("/", labels, "[", pc.cast(pa.array(places), pa.string()), "]", "")
-        labels = pc.if_else(pa.array(parent < 0), pc.binary_join_element_wise("/", pa.array(nodes.label, pa.string()), ""), labels)
+        roots = pc.binary_join_element_wise(pa.scalar("/", pa.large_string()), labels, pa.scalar("", pa.large_string()))
+        text = lambda x: pa.scalar(x, pa.large_string())
+        labels = pc.binary_join_element_wise(text("/"), labels, text("["), pc.cast(pa.array(places), pa.large_string()), text("]"), text(""))
+        labels = pc.if_else(pa.array(parent < 0), roots, labels)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     bounds = np.searchsorted(depth[order], np.arange(int(depth.max()) + 2))
-    done: list[pa.Array] = []
-    above: list[pa.Array] = []
+    before: pa.Array | None = None
     for level in range(len(bounds) - 1):
         ids = order[bounds[level] : bounds[level + 1]]
         own = pc.take(labels, pa.array(ids))
-        if level == 0:
-            up = pa.array([""] * len(ids), pa.string())
-            path = own
+        if before is None:
+            up, path = pa.array([""] * len(ids), pa.large_string()), own
         else:
-            up = pc.take(done[-1], pa.array(rank[parent[ids]] - bounds[level - 1]))
-            path = pc.binary_join_element_wise(up, own, "")
-        done.append(path)
-        above.append(up)
-    record = np.asarray(nodes.record, np.int64)[order]
-    return pa.concat_arrays(done), pa.concat_arrays(above), record
+            up = pc.take(before, pa.array(rank[parent[ids]] - bounds[level - 1]))
+            path = pc.binary_join_element_wise(up, own, pa.scalar("", pa.large_string()))
+        before = path
+        yield path, up, records[ids]
+
+
+def _in_parts(levels: Iterator[tuple[pa.Array, pa.Array, np.ndarray]]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Small levels together, large ones divided, so that what is sent has a like size."""
+    held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+    size = 0
+
+    def joined() -> tuple[pa.Array, pa.Array, np.ndarray]:
+        path, up, record = zip(*held, strict=True)
+        return pa.concat_arrays(path).cast(pa.string()), pa.concat_arrays(up).cast(pa.string()), np.concatenate(record)
+
+    for path, up, record in levels:
+        rows = max(1, len(path) * SENT // max(path.nbytes, 1))
+        for at in range(0, len(path), rows):
+            part = path.slice(at, rows), up.slice(at, rows), record[at : at + rows]
+            held.append(part)
+            size += int(path.nbytes * len(part[0]) / len(path)) + 1
+            if size >= SENT:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, behind) of runs of texts that are decoded together."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if held and held + n > DECODED:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(lengths):
+        yield first, len(lengths)
 
 
 def flatten_texts(df: DataFrame, key: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -264,12 +304,13 @@ def flatten_texts(df: DataFrame, key: str, columns: dict[str, tuple[str, str]])
         for batch in batches:
             keys = batch.column(0)
             for origin, (name, how) in names.items():
-                nodes = Nodes()
-                (read_xml if how == "xml" else read_json)(batch.column(name).to_pylist(), nodes)
-                if not len(nodes):
-                    continue
-                path, up, record = paths_of(nodes, xml=how == "xml")
-                yield pa.RecordBatch.from_arrays([pc.take(keys, pa.array(record)), pa.array([origin] * len(path), pa.string()), path, up], names=[key, "origin", "node_path", "parent_path"])
+                for first, behind in _together(batch.column(name)):
+                    nodes = Nodes()
+                    (read_xml if how == "xml" else read_json)(batch.column(name).slice(first, behind - first).to_pylist(), nodes)
+                    if not len(nodes):
+                        continue
+                    for path, up, record in _in_parts(paths_of(nodes, xml=how == "xml")):
+                        yield pa.RecordBatch.from_arrays([pc.take(keys, pa.array(record + first)), pa.array([origin] * len(path), pa.string()), path, up], names=[key, "origin", "node_path", "parent_path"])
 
     ship(df.sparkSession)
     picked = df.select(F.col(f"`{key}`").alias("_key"), *[F.col(f"`{c}`").alias(f"_text{i}") for i, (c, _) in enumerate(columns.values())])
