@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+import xml.etree.ElementTree as ET
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.functions import columns as C
 from weftline.operators import ordered as O
@@ -73,45 +75,39 @@ def text_to_columns(df: DataFrame, field: str, delimiter: str = ",", width: int
     return df.withColumns({f"{field}_{i}": F.get(parts, F.lit(i)) for i in range(max(n, 0))})
 
 
-def json_parse(df: DataFrame, field: str, *, name: str = "JSON_Name", value: str = "JSON_ValueString") -> DataFrame:
-    """A row per leaf of the JSON text: its path, steps joined by ``.``, and its text. Bad and null texts give no rows."""
+def _leaves(texts: pa.Array) -> pa.Array:
+    """Of every JSON text its leaves as (name, value), null for null and bad texts."""
     from weftline.operators.flatten import load_json
 
-    kept = [f for f in df.schema if f.name != field]
-    out = T.StructType([*kept, T.StructField(name, T.StringType()), T.StructField(value, T.StringType())])
-
-    def run(batches):  # noqa: ANN001, ANN202
-        import json
-
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            rows, paths, values = [], [], []
-            for i, text in enumerate(texts):
-                if not text:
-                    continue
-                try:
-                    stack = [("", load_json(text))]
-                except ValueError:
-                    continue
-                while stack:
-                    path, v = stack.pop()
-                    lead = path + "." if path else ""
-                    if isinstance(v, dict):
-                        stack.extend((lead + k, x) for k, x in reversed(v.items()))
-                    elif isinstance(v, list):
-                        stack.extend((lead + str(k), x) for k, x in reversed([*enumerate(v)]))
-                    else:
-                        rows.append(i)
-                        paths.append(path)
-                        values.append(None if v is None else v if isinstance(v, str) else json.dumps(v))
-            if rows:
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[f.name for f in out])
+    offsets, names, values = [0], [], []
+    for text in texts.to_pylist():
+        try:
+            stack = [("", load_json(text))] if text else []
+        except ValueError:
+            stack = []
+        while stack:
+            path, v = stack.pop()
+            lead = path + "." if path else ""
+            if isinstance(v, dict):
+                stack.extend((lead + k, x) for k, x in reversed(v.items()))
+            elif isinstance(v, list):
+                stack.extend((lead + str(k), x) for k, x in reversed([*enumerate(v)]))
+            else:
+                names.append(path)
+                values.append(None if v is None else v if isinstance(v, str) else json.dumps(v))
+        offsets.append(len(names))
+    leaves = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), leaves)
+
 
+def json_parse(df: DataFrame, field: str, *, name: str = "JSON_Name", value: str = "JSON_ValueString") -> DataFrame:
+    """A row per leaf of the JSON text: its path, steps joined by ``.``, and its text. Bad and null texts give no rows. Only the
+    texts go to Python; the other columns meet the leaves in the JVM."""
     ship(df.sparkSession)
-    return df.select(*[C.name(f.name) for f in kept], C.name(field).cast("string")).mapInArrow(run, out)
+    leaves = F.arrow_udf(_leaves, "array<struct<name: string, value: string>>")
+    kept = [C.name(c) for c in df.columns if c != field]
+    found = df.withColumn("__leaves", leaves(C.name(field).cast("string"))).select(*kept, F.inline("__leaves").alias("__name", "__value"))
+    return found.select(*kept, F.col("__name").alias(name), F.col("__value").alias(value))
 
 
 def json_build(df: DataFrame, out: str = "JSON", group: Sequence[str] = (), order: O.Order = ()) -> DataFrame:
@@ -129,8 +125,7 @@ def json_build(df: DataFrame, out: str = "JSON", group: Sequence[str] = (), orde
 def xml_parse(df: DataFrame, field: str, paths: dict[str, str], *, rows: str | None = None) -> DataFrame:
     """Texts at paths below the root (``A/B``, ``A/B/@c``) as fields. With ``rows``, a path to a repeated element, there is a
     row for each and the paths start there. Texts that are null or not well-formed give nulls, or no rows."""
-    kept = list(df.schema)
-    out = T.StructType([*kept, *[T.StructField(n, T.StringType()) for n in paths]])
+    steps = list(paths.values())
 
     def value(node, path: str) -> str | None:  # noqa: ANN001
         step, _, attribute = path.partition("@")
@@ -140,28 +135,21 @@ def xml_parse(df: DataFrame, field: str, paths: dict[str, str], *, rows: str | N
             return None
         return found.get(attribute) if attribute else "".join(found.itertext())
 
-    def run(batches):  # noqa: ANN001, ANN202
-        import xml.etree.ElementTree as ET
-
-        import pyarrow as pa
-
-        for batch in batches:
-            at, values = [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                try:
-                    root = ET.fromstring(text) if text else None
-                except ET.ParseError:
-                    root = None
-                if rows is None:
-                    at.append(i)
-                    values.append([None if root is None else value(root, p) for p in paths.values()])
-                elif root is not None:
-                    for node in root.findall(rows):
-                        at.append(i)
-                        values.append([value(node, p) for p in paths.values()])
-            index = pa.array(at, pa.int64())
-            columns = [pa.array(c, pa.string()) for c in zip(*values, strict=True)] if values else [pa.array([], pa.string()) for _ in paths]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in range(len(kept))), *columns], names=[f.name for f in out])
+    def found(texts: pa.Array) -> pa.Array:
+        offsets, values = [0], []
+        for text in texts.to_pylist():
+            try:
+                root = ET.fromstring(text) if text else None
+            except ET.ParseError:
+                root = None
+            nodes = [root] if rows is None else [] if root is None else root.findall(rows)
+            values += [[None if node is None else value(node, p) for p in steps] for node in nodes]
+            offsets.append(len(values))
+        columns = [pa.array(c, pa.string()) for c in zip(*values, strict=True)] if values else [pa.array([], pa.string()) for _ in steps]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, [f"v{i}" for i in range(len(steps))]))
 
     ship(df.sparkSession)
-    return df.select(*[C.name(f.name) for f in kept], C.name(field).cast("string").alias("__xml")).mapInArrow(run, out)
+    kind = f"array<struct<{', '.join(f'v{i}: string' for i in range(len(steps)))}>>"
+    # only the texts go to Python
+    made = df.withColumn("__xml", F.arrow_udf(found, kind)(C.name(field).cast("string"))).select(*[C.name(c) for c in df.columns], F.inline("__xml"))
+    return made.select(*[C.name(c) for c in df.columns], *[F.col(f"v{i}").alias(n) for i, n in enumerate(paths)])
