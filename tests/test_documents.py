@@ -231,6 +231,11 @@ def test_hooks_extensions_and_views(spark):
     assert rows(done.frame(3, "1")) == [("X!",)] and "Project" in done.describe(2)
     assert "tool_3_1" in done.register_views() and rows(spark.sql("select a from tool_3_1")) == [("X!",)]
     assert compile_workflow(flow, spark).blocked == {3}
+    compiler.register("Whisper", lambda t: {"Output": t.one.df.selectExpr("lower(a) as a")}, prefix="Acme.Quiet.")
+    compiler.register("Hush", lambda t: {"Output": t.one.df.limit(0)}, prefix="Acme.Quiet.Very")
+    flow = load(document([node(1, "TextInput", '<Fields><Field name="a"/></Fields><Data><r><c>X</c></r></Data>'), node(2, "", plugin="Acme.Quiet.Tool9"), node(3, "", plugin="Acme.Quiet.VeryQuiet.Tool"), node(4, "", plugin="Acme.Quiet.Filter"), node(5, "", plugin="Other.Tool")], [(1, "", i, "") for i in (2, 3, 4, 5)]))
+    done = compile_workflow(flow, spark)
+    assert rows(done.frame(2)) == [("x",)] and rows(done.frame(3)) == [] and flow.tools[4].definition.name == "Filter" and 5 in done.blocked
 
 
 def test_command(spark, tmp_path, capsys):

@@ -829,8 +829,8 @@ def _spatial_process(t: Task) -> dict:
     return {"Output": polygons.spatial_process(t.one.df, t.config.text("SpatialField1", "Field1"), t.config.text("SpatialField2", "Field2"), (t.config.text("Action", default="combine")).lower())}
 
 
-def register(name: str, build: Callable[[Task], dict], *, category: str = "Extension", inputs: tuple[str, ...] = ("Input",), outputs: tuple[str, ...] = ("Output",), aliases: tuple[str, ...] = ()) -> None:
+def register(name: str, build: Callable[[Task], dict], *, category: str = "Extension", inputs: tuple[str, ...] = ("Input",), outputs: tuple[str, ...] = ("Output",), aliases: tuple[str, ...] = (), prefix: str | None = None) -> None:
     """Add a tool, or replace one: ``build`` takes a ``Task`` and gives frames or streams by anchor. It is found by its name and
-    aliases, as by the last part of a plugin's name."""
-    registry.add(registry.ToolDefinition(category, name, registry.FULL, inputs, outputs, False, tuple(map(registry.plain, (name, *aliases)))))
+    aliases, as by the last part of a plugin's name, and with ``prefix`` by any plugin name that starts so and is not known."""
+    registry.add(registry.ToolDefinition(category, name, registry.FULL, inputs, outputs, False, tuple(map(registry.plain, (name, *aliases)))), prefix)
     BUILDERS[name] = build

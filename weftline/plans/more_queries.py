@@ -71,6 +71,13 @@ def sink_json(s: SparkSession, d: str) -> DataFrame:
     return _round_trip(s, _profiles(s, d), "out.json", _PROFILES).select("cust_id", "name", "status", "revenue")
 
 
+@query(_PROFILES_SQL + " union all select null, null, null, 1.0")
+def sink_xlsx(s: SparkSession, d: str) -> DataFrame:
+    """A sheet by its name; a row of nulls but one, and whole numbers among the others."""
+    one = s.createDataFrame([(None, None, None, 1.0)], _PROFILES)
+    return _round_trip(s, _profiles(s, d).unionByName(one), "out.xlsx|||Profiles$")
+
+
 @query(_PROFILES_SQL)
 def sink_parquet(s: SparkSession, d: str) -> DataFrame:
     return _round_trip(s, _profiles(s, d), "out.parquet")
@@ -288,3 +295,18 @@ def stream_of_events(s: SparkSession, d: str) -> DataFrame:
     done = streams.run(rows.where("event_id is not null"), lambda batch, _: batch.write.mode("append").parquet(out), f"events-{uuid.uuid4().hex}")
     done.awaitTermination()
     return s.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""with n as (select user_id, ts, case when ts - lag(ts) over w >= interval 6 hour or lag(ts) over w is null then 1 else 0 end as first from events window w as (partition by user_id order by ts)),
+k as (select user_id, ts, sum(first) over (partition by user_id order by ts rows unbounded preceding) as s from n)
+select user_id, min(ts) as session_start, max(ts) + interval 6 hour as session_end, count(*)::bigint as n from k group by user_id, s""")
+def sessions_of_events(s: SparkSession, d: str) -> DataFrame:
+    """Sessions end after six hours without an event of the user."""
+    made = streams.sessions(T(s, d, "events"), "ts", "6 hours", [F.count(F.lit(1)).alias("n")], ["user_id"])
+    return made.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
+
+
+@query("select time_bucket(interval 1 day, ts) as window_start, time_bucket(interval 1 day, ts) + interval 1 day as window_end, event_type, count(*)::bigint as n from events group by all")
+def windows_of_events(s: SparkSession, d: str) -> DataFrame:
+    made = streams.windowed(T(s, d, "events"), "ts", "1 day", [F.count(F.lit(1)).alias("n")], ["event_type"])
+    return made.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "event_type", "n")

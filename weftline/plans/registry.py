@@ -138,6 +138,8 @@ def _read() -> tuple[ToolDefinition, ...]:
 
 TOOLS = _read()
 _BY_ALIAS = {a: t for t in TOOLS for a in t.aliases}
+#: Tools of all plugins whose names start alike, the longest start first.
+_BY_PREFIX: dict[str, ToolDefinition] = {}
 UNKNOWN = ToolDefinition("Unknown", "Unknown", "unsupported", ("Input",), ("Output",), False, ())
 
 
@@ -158,9 +160,14 @@ def lookup(plugin: str) -> ToolDefinition:
     for t in tries:
         if plain(t) in _BY_ALIAS:
             return _BY_ALIAS[plain(t)]
+    for start in sorted(_BY_PREFIX, key=len, reverse=True):
+        if plugin.lower().startswith(start):
+            return _BY_PREFIX[start]
     return UNKNOWN
 
 
-def add(tool: ToolDefinition) -> None:
-    """Make a tool known, before others of the same names."""
+def add(tool: ToolDefinition, prefix: str | None = None) -> None:
+    """Make a tool known, before others of the same names; with a prefix for all plugins too that no name is known of."""
     _BY_ALIAS.update(dict.fromkeys(tool.aliases, tool))
+    if prefix:
+        _BY_PREFIX[prefix.lower()] = tool

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import columns as C
+from weftline.sources import excel
 
 # Format codes of documents, and formats by extension.
 _CODES = {"0": "csv", "19": "xlsx", "25": "yxdb"}
@@ -22,12 +23,9 @@ _QUOTES = {"quote": '"', "escape": '"'}
 # What is written is all that is there, blanks at the ends too.
 _WHOLE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
-#: Rows an Excel sheet may take from Spark.
-EXCEL_ROWS = 1_048_575
-
 
 class MissingDependency(RuntimeError):
-    """A format needs a library that is not installed."""
+    """A format that is not read."""
 
 
 @dataclass(frozen=True)
@@ -89,12 +87,9 @@ def read(spark: SparkSession, at: Location, *, schema: T.StructType | str | None
         reader = spark.read.option("multiLine", not _json_lines(spark, path))
         df = (reader.schema(schema) if schema else reader).json(path)
     elif kind == "xlsx":
-        try:
-            import openpyxl  # noqa: F401
-            import pandas as pd
-        except ImportError as e:
-            raise MissingDependency("reading Excel files takes openpyxl") from e
-        df = spark.createDataFrame(pd.read_excel(path, sheet_name=at.sheet or 0))
+        if path.lower().endswith(".xls"):
+            raise MissingDependency("the old binary format of Excel is not read")
+        df = excel.read(spark, path, at.sheet)
     else:
         df = spark.read.format(kind).load(path)
     df = clean(df)
@@ -147,13 +142,7 @@ def write(df: DataFrame, at: Location, *, mode: str = "overwrite", limit: int |
     path = at.path if not base or "://" in at.path or os.path.isabs(at.path) else os.path.join(base, at.path)
     df = df.limit(limit) if limit else df
     if at.format == "xlsx":
-        try:
-            import openpyxl  # noqa: F401
-        except ImportError as e:
-            raise MissingDependency("writing Excel files takes openpyxl") from e
-        if not df.limit(EXCEL_ROWS + 1).count() <= EXCEL_ROWS:
-            raise ValueError("too many rows for a sheet")
-        df.toPandas().to_excel(path, sheet_name=at.sheet or "Sheet1", index=False)
+        excel.write(df, path, at.sheet)
         return
     if at.format == "json" and json_array:
         from weftline.operators.parse import json_build

@@ -31,6 +31,13 @@ def windowed(df: DataFrame, at: str, size: str, aggregates: Sequence, keys: Sequ
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in out.columns if c != "window"])
 
 
+def sessions(df: DataFrame, at: str, gap: str, aggregates: Sequence, keys: Sequence[str] = (), *, late: str = "10 minutes") -> DataFrame:
+    """Aggregates per session of the keys: rows no further apart than ``gap``; rows later than ``late`` are left out."""
+    stamped = df.withColumn("__at", C.name(at).cast("timestamp")).withWatermark("__at", late)
+    out = stamped.groupBy(F.session_window("__at", gap).alias("window"), *[C.name(k) for k in keys]).agg(*aggregates)
+    return out.select(F.col("window.start").alias("session_start"), F.col("window.end").alias("session_end"), *[c for c in out.columns if c != "window"])
+
+
 def run(df: DataFrame, sink: Callable[[DataFrame, int], None], name: str, *, mode: str = "append", available_now: bool = True) -> StreamingQuery:
     """Each micro-batch to a function. With ``available_now`` the query ends when it has taken all there is."""
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stream-{name}"
