@@ -565,11 +565,6 @@ def json_parse(s: SparkSession, d: str) -> DataFrame:
     return out.where("name = 'k'").select("event_id", "value")
 
 
-@query()
-def json_build(s: SparkSession, d: str) -> DataFrame:
-    return parse.json_build(T(s, d, "region"))
-
-
 @query()
 def xml_parse(s: SparkSession, d: str) -> DataFrame:
     return parse.xml_parse(T(s, d, "tools").select("record_id", "raw_xml"), "raw_xml", {"expression": "Expression", "mode": "Mode"}).select("record_id", "expression", "mode")
@@ -736,16 +731,6 @@ def input_limit(s: SparkSession, d: str) -> DataFrame:
     return files.read(s, files.locate(f"{d}/region.parquet"), limit=3)
 
 
-@query()
-def datetime_now(s: SparkSession, d: str) -> DataFrame:
-    return files.date_time_now(s)
-
-
-@query()
-def directory(s: SparkSession, d: str) -> DataFrame:
-    return files.directory(s, d, "*.parquet")
-
-
 @query("select r_regionkey, r_name from region union all select r_regionkey, r_name from region")
 def dynamic_input(s: SparkSession, d: str) -> DataFrame:
     paths = s.createDataFrame([(f"{d}/region.parquet",), (f"{d}/region.parquet",)], "path string")
