@@ -34,6 +34,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten_texts(table(spark, d, "tools"), "record_id", {"xml": ("raw_xml", "xml"), "json": ("parsed", "json")})
 
 
+def p2_json(spark: SparkSession, d: str) -> DataFrame:
+    """The objects alone, by the same operator: what SQL can walk through too."""
+    return flatten_texts(table(spark, d, "tools"), "record_id", {"json": ("parsed", "json")})
+
+
 def p2_output_fields(spark: SparkSession, d: str) -> DataFrame:
     return explode_arrays(table(spark, d, "tools"), "record_id", "output_fields")
 
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
     "p2_found": p2_found,
+    "p2_json": p2_json,
     "p2_output_fields": p2_output_fields,
     "p3_found": p3_found,
     "p3_report": p3_report,
@@ -202,3 +208,18 @@ ORACLES["p5_file_changes"] = """
 select * from (values ('retyped', 'at_x', 'int', 'decimal(12,2)'), ('retyped', 'at_y', 'smallint', 'float'), ('renamed', 'name -> label', 'string', 'string'),
   ('retyped', 'ref', 'struct<workflow_id:bigint,tool_id:bigint>', 'struct<tool_id:bigint,workflow_id:bigint,container_id:bigint>'), ('retyped', 'at_x', 'decimal(12,2)', 'bigint'), ('retyped', 'at_y', 'float', 'int'),
   ('removed', 'ref', 'struct<tool_id:bigint,workflow_id:bigint,container_id:bigint>', null), ('added', 'day', null, 'date')) t(change_kind, field, old_type, new_type)"""
+# a text that holds JSON is walked through in its place; keys are written without quotes; the object above is what is left of a
+# path without its last key and the places behind it
+ORACLES["p2_json"] = r"""
+with recursive texts as (
+  select record_id, '$' as lead, parsed as j from tools where json_valid(parsed)
+  union all
+  select record_id, lead || regexp_replace(substring(fullkey, 2), '\."([^"]*)"', '.\1', 'g'), json_extract_string(value, '$') from (
+    select t.record_id, t.lead, e.fullkey, e.value from texts t, lateral (select fullkey, value from json_tree(t.j) where type = 'VARCHAR') e)
+  where regexp_matches(json_extract_string(value, '$'), '^\s*[\[{"]') and json_valid(json_extract_string(value, '$'))),
+objects as (
+  select t.record_id, t.lead || regexp_replace(substring(e.fullkey, 2), '\."([^"]*)"', '.\1', 'g') as node_path
+  from texts t, lateral (select fullkey from json_tree(t.j) where type = 'OBJECT') e)
+select record_id, 'json' as origin, node_path,
+  case when regexp_full_match(node_path, '\$(\[\d+\])*') then '' else regexp_replace(node_path, '(\.[^.\[\]]+)(\[\d+\])*$', '') end as parent_path
+from objects"""
