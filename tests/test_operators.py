@@ -192,6 +192,22 @@ def test_large_groups_are_spread(spark, monkeypatch, order):
     assert "__part" in plan
 
 
+def test_many_first_and_last_rows_come_by_number(spark, monkeypatch):
+    """The same rows as by a top-k, and no plan that brings all rows into one task."""
+    df = spark.range(0, 500, 1, 7).selectExpr("(id * 37) % 500 as v", "id")
+    order = [("v", False)]
+    want = {m: rows(ordered.sample(df, m, 40, order=order)) for m in ("first", "last")}
+    assert want["first"][0][0] and len(want["last"]) == 40
+    monkeypatch.setattr(ordered, "TOP_ROWS", 10)
+    assert {m: rows(ordered.sample(df, m, 40, order=order)) for m in want} == want
+    assert [r["v"] for r in ordered.sample(df, "skip", 490, order=order).collect()] == list(range(9, -1, -1))
+    assert sorted(r["id"] for r in ordered.sample(df, "last", 12).collect()) == list(range(488, 500))
+    drawn = ordered.sample(df, "random_pct", pct=30)
+    assert drawn.count() == 150 == drawn.distinct().count() and drawn.join(df, ["v", "id"]).count() == 150
+    for mode in ("first", "skip"):
+        assert "SinglePartition" not in ordered.sample(df, mode, 40, order=order)._jdf.queryExecution().toString().split("Window")[0]
+
+
 def test_rows_beyond_the_partition(spark):
     """Shifts over several partitions, empty ones among them, with and without an order."""
     n = 60

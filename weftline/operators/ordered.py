@@ -28,6 +28,8 @@ _PLACE, _PART, _AT = "__place", "__part", "__at"
 _MASK = (1 << 33) - 1
 #: Rows of a group that one task takes.
 HOT_ROWS = 2_000_000
+#: Rows that a top-k may bring into one task.
+TOP_ROWS = 100_000
 
 
 def sort_columns(order: Order) -> list[Column]:
@@ -296,8 +298,8 @@ def select_records(df: DataFrame, ranges: str = "1-100", order: Order = ()) -> D
 def sample(df: DataFrame, mode: str = "first", n: int = 100, pct: float | None = None, group: Sequence[str] = (), order: Order = (), seed: int = 42) -> DataFrame:
     """``first``, ``last``, ``skip`` n, ``one_in`` n, ``random_n``, ``random_pct`` and ``first_pct``, per group if any.
 
-    Random modes are exact in size: rows are ordered by a seeded random number. first and last of an ordered frame
-    plan as a top-k, not as a full sort.
+    Random modes are exact in size: rows are ordered by a seeded random number. few first and last rows of an
+    ordered frame plan as a top-k, not as a full sort.
     """
     mode = mode.lower()
     keys = sort_columns(order)
@@ -312,13 +314,14 @@ def sample(df: DataFrame, mode: str = "first", n: int = 100, pct: float | None =
         order, keys, mode = [("__r", True)], [F.col("__r")], "first" if mode == "random_n" else "first_pct"
     if not group and mode in ("first", "last", "skip"):
         if mode == "first":
-            return (df.orderBy(*keys) if keys else df).limit(n)
-        if mode == "skip":
-            return df.orderBy(*keys).offset(n) if keys else placed(df).orderBy(_PLACE).offset(n).drop(_PLACE, _PART, _AT)
-        if keys:
+            return _first(df, order, n)
+        if mode == "skip":  # an offset would bring all rows into one task
+            return numbered(df, "__n", order).where(F.col("__n") > n).drop("__n")
+        if keys and n <= TOP_ROWS:
             back = [(C.name(c).desc_nulls_first() if up else C.name(c).asc_nulls_first()) for c, up in order]
             return df.orderBy(*back).limit(n).orderBy(*keys)
-        return placed(df).orderBy(F.col(_PLACE).desc()).limit(n).orderBy(_PLACE).drop(_PLACE, _PART, _AT)
+        df = cut(df) if not keys else df
+        return numbered(df, "__n", order).where(F.col("__n") > df.count() - n).drop("__n")
     if not group:
         rows = numbered(df, "__n", order)
         if mode == "one_in":
@@ -356,6 +359,13 @@ def _with_totals(df: DataFrame, group: Sequence[str], totals: dict[str, Column])
     return df.join(sums, on).drop(*[f"__g{i}" for i in range(len(group))])
 
 
+def _first(df: DataFrame, order: Order, n: int) -> DataFrame:
+    """The first rows: as a top-k, which one task merges, as long as they are few, else by number."""
+    if order and n > TOP_ROWS:
+        return numbered(df, "__n", order).where(F.col("__n") <= n).drop("__n")
+    return (df.orderBy(*sort_columns(order)) if order else df).limit(n)
+
+
 def unique(df: DataFrame, fields: Sequence[str] = (), order: Order = ()) -> dict[str, DataFrame]:
     """``Unique``: the first row of every key, ``Duplicates``: the others; nulls are equal. No fields: all fields.
 
