@@ -1,11 +1,13 @@
 """Tool operators on small frames full of nulls, ties and repeats, and on none."""
 
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import joins, ordered, parse, prepare, spatial, transform
+from weftline.operators import joins, ordered, parse, pieces, prepare, spatial, transform
 from weftline.operators.prepare import Choice
 from weftline.operators.transform import Action
 from weftline.sources import files
@@ -145,6 +147,36 @@ def test_replacing_by_many_rules_is_the_same_as_one_after_the_other(spark, monke
     assert joins.find_replace(spark.createDataFrame([("key7;key19999;key20000;",)], "s string"), many, "s", "f", "r", mode="part").first()[0] == "<7><19999>key20000;"
 
 
+def test_rules_that_are_too_many_to_send_are_looked_up(spark, monkeypatch):
+    # of two million rules of 90 MB neither the driver nor a task gets more than the filter, and the texts are the same
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(len(pickle.dumps(x))) or send(x))
+    many = spark.range(2_000_000).selectExpr("concat('rule number ', id, ' of a large table;') as f", "concat('<', id, '>') as r").union(spark.createDataFrame([("<7>", "7;"), ("7;7", None), ("é", "e")], "f string, r string"))
+    df = spark.createDataFrame([("é rule number 7 of a large table;7 rule number 1999999 of a large table;",), ("rule number 2000000 of a large table;",), (None,), ("",)], "s string")
+    assert rows(joins.find_replace(df, many, "s", "f", "r", mode="part")) == [("",), ("e 7;7 <1999999>",), ("rule number 2000000 of a large table;",), (None,)]
+    assert sent and sum(sent) < 20 << 20
+    # rules that bring about others, and letters of several bytes
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("aé€😀", k=rng.randrange(1, n)))
+    rules = [(word(7), word(4) if rng.random() < 0.9 else None) for _ in range(150)] + [("", "x"), (None, "y")]
+    texts = [word(25) for _ in range(200)] + [None, "", "zzz"]
+    want = []
+    for t in texts:
+        for a, b in sorted({(a, b or "") for a, b in rules if a}, key=lambda r: (-len(r[0]), r)):
+            t = t and t.replace(a, b)
+        want.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").repartition(3)
+    monkeypatch.setattr(joins, "SENT_BYTES", -1)
+    assert [r["s"] for r in joins.find_replace(df, spark.createDataFrame(rules, "f string, r string"), "s", "f", "r", mode="part").orderBy("id").collect()] == want
+    assert rows(joins.find_replace(df.where("s = 'zzz'"), spark.createDataFrame(rules, "f string, r string"), "s", "f", "r", mode="part").select("s")) == [("zzz",)]
+    # no piece is lost where texts are cut into segments
+    monkeypatch.setattr(pieces, "SEGMENT", 32)
+    finds, texts = sorted({a for a, _ in rules if a}), [t or "" for t in texts]
+    marks = pieces.marks(1 << 16)(iter([pa.RecordBatch.from_pydict({"a": finds})]))
+    held = pieces.Filter({r["part"]: r["bits"] for b in marks for r in b.to_pylist()}, 1 << 16, {len(a.encode()) for a in finds})
+    assert all({a for a in finds if a in t} <= found for t, found in zip(texts, held.pieces(texts), strict=True))
+
+
 def test_fuzzy_rows_grow_with_the_length(spark):
     """Rows of a text in proportion to its length, and no pair lost at any threshold."""
     for threshold in (0.5, 0.6, 0.75, 0.8, 0.9, 0.97):

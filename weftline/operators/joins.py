@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 
 from weftline.functions import columns as C
 from weftline.operators import ordered as O
+from weftline.operators import pieces as P
 from weftline.session import cut, ship
 
 #: A side is sent to all tasks only if it was measured to be at most this large.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 #: Rules of a replacement that are made expressions; more become automata, each of so many bytes of rules.
 EXPRESSIONS, AUTOMATON_BYTES = 32, 4 << 20
+#: Rules of about so many bytes are sent to all tasks; of more, only those that occur are looked up.
+SENT_BYTES = 8 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -147,7 +150,8 @@ def find_replace(targets: DataFrame, lookup: DataFrame, field: str, find: str, r
     ``exact``: the whole value, by a join on the table reduced to one row per value. ``part``: every occurrence in the text,
     rule after rule, longer ones first, of equally long ones the smaller first; what a rule has put in is text for the next.
     Any number of rules: beyond ``EXPRESSIONS`` they are read in blocks, each an automaton that finds the rules that apply,
-    and no text is shuffled. Nulls and empty texts in the table match nothing."""
+    and no text is shuffled; beyond ``SENT_BYTES`` they stay a frame (see ``_looked_up``), but for streams. Nulls and empty texts in
+    the table match nothing."""
     pairs = lookup.where(C.name(find).isNotNull())
     if mode == "exact":
         picks = [replace] if replace else list(append)
@@ -157,7 +161,12 @@ def find_replace(targets: DataFrame, lookup: DataFrame, field: str, find: str, r
             new = F.when(F.col("__find").isNotNull(), C.name(f"__{replace}")).otherwise(C.name(field))
             return joined.withColumn(field, new).select(*[C.name(c) for c in targets.columns])
         return joined.select(*[C.name(c) for c in targets.columns], *[C.name(f"__{c}").alias(c if c not in targets.columns else f"{c}_right") for c in picks])
-    rules = pairs.select(C.name(find).cast("string").alias("a"), F.coalesce(C.name(replace).cast("string"), F.lit("")).alias("b")).where("a <> ''").distinct()
+    given = pairs.select(C.name(find).cast("string").alias("a"), F.coalesce(C.name(replace).cast("string"), F.lit("")).alias("b")).where("a <> ''")
+    if not targets.isStreaming:
+        sizes = given.groupBy(F.octet_length("a").alias("length")).agg(F.count(F.lit(1)).alias("rules"), F.sum((F.octet_length("a") + F.octet_length("b")).cast("double")).alias("size")).collect()
+        if sum(r["size"] for r in sizes) > SENT_BYTES:
+            return _looked_up(targets, given, field, sum(r["rules"] for r in sizes), [r["length"] for r in sizes])
+    rules = given.distinct()
     in_order = rules.orderBy(F.length("a").desc(), "a", "b")
     first = [(r["a"], r["b"]) for r in in_order.limit(EXPRESSIONS + 1).collect()]
     if len(first) <= EXPRESSIONS:
@@ -179,6 +188,44 @@ def find_replace(targets: DataFrame, lookup: DataFrame, field: str, find: str, r
     return targets.withColumn(field, _automata(blocks)(C.name(field).cast("string")))
 
 
+def _measured(df: DataFrame) -> DataFrame:
+    """A side that is sent if it was measured to be small, and never else: the planner's guesses of checkpoints are far too low."""
+    return F.broadcast(df) if small(df) else df.hint("merge")
+
+
+def _looked_up(targets: DataFrame, given: DataFrame, field: str, rules: int, lengths: Sequence[int]) -> DataFrame:
+    """Replacements by rules (a, b) that stay a frame, with the same result.
+
+    A filter of fixed size finds the pieces of the different texts that may be rules; those pieces are looked up by a join and
+    replaced text by text. What a rule has put in may make pieces that were not looked up: these texts go on in another
+    round. Texts that change are joined with the targets. Frames are read several times."""
+    spark = targets.sparkSession
+    ship(spark)
+    bits = P.filter_bits(rules)
+    marks = given.select("a").mapInArrow(P.marks(bits), "part bigint, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    sent = spark.sparkContext.broadcast(P.Filter({r["part"]: bytes(r["bits"]) for r in marks.collect()}, bits, lengths))
+    texts = targets.select(C.name(field).cast("string").alias("origin")).where("origin <> ''").mapInArrow(P.find(sent), "origin string, asks array<string>").dropDuplicates(["origin"])
+    none = F.array().cast("array<string>")
+    state = texts.select(F.monotonically_increasing_id().alias("id"), "origin", F.col("origin").alias("text"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), none.alias("asked"), F.array().cast(P.RULES).alias("rules"), "asks")
+    state, ready = cut(state), []
+    while not state.isEmpty():
+        asks = state.select("id", F.explode("asks").alias("a"))
+        keys = asks.select("a").distinct()
+        hits = cut(given.join(_measured(keys), "a").distinct())
+        more = asks.join(_measured(hits), "a").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+        known = F.concat("rules", F.coalesce("more", F.array().cast(P.RULES)))
+        asked = state.join(more.hint("merge"), "id", "left").select("id", "origin", "text", "a", "b", F.concat("asked", "asks").alias("asked"), known.alias("rules"))
+        state = cut(asked.mapInArrow(P.replaced(sent), P.STATE))
+        ready.append(state.where("size(asks) = 0 and text <> origin").select(F.col("origin").alias("__find"), F.col("text").alias("__text")))
+        state = state.where("size(asks) > 0")
+    text = C.name(field).cast("string")
+    if not ready:
+        return targets.withColumn(field, text)
+    new = reduce(DataFrame.unionAll, ready)
+    joined = targets.join(_measured(new), text == F.col("__find"), "left")
+    return joined.withColumn(field, F.coalesce("__text", text)).select(*[C.name(c) for c in targets.columns])
+
+
 class Rules:
     """Replacements in order, each of all occurrences, as if one after the other; only those that occur cost time."""
 
